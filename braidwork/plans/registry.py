@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from braidwork.plans import problems
+from braidwork.plans import annotations, graphs, problems, sequences
+
+MODULES = [problems, sequences, graphs, annotations]
 
 
 def all_queries() -> dict:
-    return dict(problems.QUERIES)
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def all_sql() -> dict:
-    return dict(problems.SQL)
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
