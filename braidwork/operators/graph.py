@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from braidwork.operators.chains import rank_chains
 from braidwork.operators.onetask import TASK_ROWS, in_one_task, spanning_stars, strong_roots
+from braidwork.operators.ordered import numbered
 from braidwork.storage import materialize
 
 MAX_ROUNDS = 200
@@ -44,22 +45,6 @@ def symmetric(arcs: DataFrame) -> DataFrame:
     return both.groupBy("v", "w").agg(F.min("ls").alias("ls"), F.max("cov").alias("cov"))
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Rows numbered from 0 in the order of ``order`` (a key), without bringing them into one task.
-
-    Rows are sorted by ranges; each range adds the number of rows in those before it.
-    """
-    sorted_, _ = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    sizes = {r["_part"]: r["n"] for r in sorted_.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    start, at = {}, 0
-    for p in sorted(sizes):
-        start[p], at = at, at + sizes[p]
-    if not start:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    offset = F.element_at(F.create_map(*[F.lit(x) for p, n in start.items() for x in (p, n)]), F.col("_part"))
-    return sorted_.withColumn(name, offset.cast("bigint") + F.col("_row")).drop("_part", "_row")
-
-
 def with_link_ids(arcs: DataFrame) -> DataFrame:
     """A symmetric graph with ``link_id``, shared by an arc and its twin, and ``comp`` on the twin."""
     own = (F.col("v") < turned("w")) | ((F.col("v") == turned("w")) & (F.col("w") <= turned("v")))

@@ -32,6 +32,12 @@ def _first_bin(v: Column) -> Column:
     return F.when(v < 0, -place - 1).otherwise(place)
 
 
+def _total(upper: Column, lower: Column) -> Column:
+    """The sum of two halves as bigint, null where it doesn't fit."""
+    wide = upper.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + lower.cast("decimal(20,0)")
+    return wide.try_cast("bigint")
+
+
 def join_by_key(records: DataFrame, stats: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """``records`` with the columns of ``stats`` (unique in ``key``; ``n`` rows of ``records`` each).
 
@@ -52,7 +58,8 @@ def key_quantiles(
 
     A quantile is interpolated linearly between the two values beside place
     ``fraction * (n - 1)``; 0.5 gives the mean of the two middle ones if the number is even.
-    Rows with a null key or value take no part; a key without others has no row.
+    Rows with a null key or value take no part; a key without others has no row. A sum that
+    doesn't fit into bigint is null.
 
     ``records`` is read once for the first histogram and once for each refinement that
     some key still needs; give a written table if it is costly. Returns
@@ -62,15 +69,17 @@ def key_quantiles(
         "_k is not null and _v is not null"
     )
     wanted = [(2 * i + j, fraction, j) for i, fraction in enumerate(fractions) for j in (0, 1)]
-    counts = [
-        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_v").alias("_s"),
-    ]
+    counts = [F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    # Upper and lower halves are summed apart, so that no sum on the way leaves bigint.
+    upper, lower = F.shiftright("_v", 32), F.col("_v").bitwiseAND(F.lit((1 << 32) - 1))
 
-    bins = rows.groupBy("_k", _first_bin(F.col("_v")).alias("_bin")).agg(*counts)
+    bins = rows.groupBy("_k", _first_bin(F.col("_v")).alias("_bin")).agg(
+        *counts, F.sum(upper).alias("_up"), F.sum(lower).alias("_low")
+    )
     by_key = Window.partitionBy("_k")
     bins = (
         bins.withColumn("_n", F.sum("_c").over(by_key))
-        .withColumn("_t", F.sum("_s").over(by_key))
+        .withColumn("_t", _total(F.sum("_up").over(by_key), F.sum("_low").over(by_key)))
         .withColumn("_upto", F.sum("_c").over(by_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)))
     )
     place = lambda f, up: (F.ceil if up else F.floor)((F.col("_n") - 1) * F.lit(float(f))).cast("bigint")
