@@ -1,7 +1,7 @@
 """Paths over oriented segments: places, sequences, metrics and order.
 
-A path is rows ``path_id, pos, v``. Overlaps come from arcs ``v, w, ls``; where two
-successive segments have no arc, GAP unknown bases stand between them.
+A path is rows ``path_id, pos, v``. Overlaps come from arcs ``v, w, ls``; a negative one is
+that many unknown bases, and where two successive segments have no arc, GAP unknown bases stand between them.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ def placed_steps(steps: DataFrame, vertices: DataFrame, arcs: DataFrame, circula
     """
     rows = _joined(steps, vertices, arcs, circular)
     first = F.col("_before").isNull()
-    rows = rows.withColumn("trim", F.when(first, 0).otherwise(F.least(F.coalesce("ls", F.lit(0)), "slen")))
-    lead = F.when(~first & F.col("ls").isNull(), gap).otherwise(0)
+    rows = rows.withColumn("trim", F.when(first, 0).otherwise(F.greatest(F.least(F.coalesce("ls", F.lit(0)), "slen"), F.lit(0))))
+    lead = F.when(first, 0).when(F.col("ls").isNull(), gap).otherwise(F.greatest(-F.col("ls"), F.lit(0)))
     own = F.coalesce("slen", F.lit(0)) - F.coalesce("trim", F.lit(0)) + lead
     upto = F.sum(own).over(Window.partitionBy("path_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("offset", upto - F.coalesce("slen", F.lit(0)) + F.coalesce("trim", F.lit(0)))

@@ -25,7 +25,7 @@ SCHEMA = "sid bigint, idx int, pos int, rev int, kmer string, smer bigint"
 
 
 def select(seq: str, k: int, s: int) -> list[tuple[int, int, str, int]]:
-    """(position, strand, canonical k-mer, s-mer hash) of a sequence whose runs are already compressed.
+    """(position, whether the reverse strand is the canonical k-mer, that k-mer, s-mer hash) of a sequence whose runs are already compressed.
 
     A window with an ambiguous letter is skipped, as is one equal to its own reverse
     complement at an s-mer (it has no hash and can't be smallest). The k-mer counts if its smallest hash stands
@@ -53,7 +53,7 @@ def select(seq: str, k: int, s: int) -> list[tuple[int, int, str, int]]:
         at = p if first[p] else p + q - 1
         word = seq[p : p + k].upper().replace("U", "T")
         other = word.translate(str.maketrans("ACGT", "TGCA"))[::-1]
-        out.append((int(p), int(rev[at] < fwd[at]), min(word, other), int(h[at])))
+        out.append((int(p), int(other < word), min(word, other), int(h[at])))
     return out
 
 
