@@ -44,14 +44,14 @@ def _unitig(part):
 
 def _merged(s, d):
     v, e = a.vertices(s, d), sym(s, d)
-    odd = v.where("vid % 2 = 1 or vid % 3 = 0"), e.where("v % 4 = 0 or w % 4 = 0")
-    return graph.merged_graphs([odd, (v, e)], v, e)[1].select("v", "w", "cov")
+    strong = v.where("cov >= 10"), e.where("cov >= 10")
+    return graph.merged_graphs([strong, (v, e)], v, e)[1].select("v", "w", "cov")
 
 
 def _duplicated(part):
     def run(s, d):
         v, e = a.vertices(s, d), sym(s, d)
-        copies = v.select("vid", (F.col("vid") % 3).cast("int").alias("copy"))
+        copies = v.select("vid", F.expr("least(cov div 30, 4)").cast("int").alias("copy"))
         got = graph.duplicated(v.select("vid", "len", "cov"), e, copies)[part]
         return got
 
@@ -130,11 +130,11 @@ SELECT vid, min(step)::INT AS step, min(dist)::BIGINT AS dist FROM r GROUP BY vi
     "g13_path_exists": f"""WITH RECURSIVE {_E}, q AS (SELECT vid * 2 AS source, vid * 2 + 7 AS sink FROM v WHERE vid % 50 = 0),
 r AS (SELECT source, source AS at, 0 AS step FROM q UNION SELECT source, e.w, step + 1 FROM r JOIN e ON e.v = r.at WHERE step < 5)
 SELECT q.source, q.sink, min(step)::INT AS step FROM q LEFT JOIN r ON r.source = q.source AND r.at = q.sink GROUP BY ALL""",
-    "g18_clones": f"WITH {_V} SELECT vid, c::INT AS clone, len, cov // greatest(vid % 3, 1) AS cov FROM v, range(0, greatest(vid % 3, 1)) t(c)",
-    "g18_clone_arcs": f"""WITH {_E} SELECT e.v, a::INT AS v_clone, e.w, b::INT AS w_clone, ls, cov // (greatest((v >> 1) % 3, 1) * greatest((w >> 1) % 3, 1)) AS cov
-FROM e, range(0, greatest((v >> 1) % 3, 1)) t(a), range(0, greatest((w >> 1) % 3, 1)) u(b)""",
+    "g18_clones": f"WITH {_V} SELECT vid, c::INT AS clone, len, cov // greatest(least(cov // 30, 4), 1) AS cov FROM v, range(0, greatest(least(cov // 30, 4), 1)) t(c)",
+    "g18_clone_arcs": f"""WITH {_E}, c AS (SELECT vid, greatest(least(cov // 30, 4), 1) AS n FROM v), x AS (SELECT e.*, p.n AS pn, q.n AS qn FROM e JOIN c p ON p.vid = e.v >> 1 JOIN c q ON q.vid = e.w >> 1)
+SELECT v, a::INT AS v_clone, w, b::INT AS w_clone, ls, cov // (pn * qn) AS cov FROM x, range(0, pn) t(a), range(0, qn) u(b)""",
     "g19_well_covered": f"WITH RECURSIVE {_CC}, m AS (SELECT cid, sum(len * cov) / nullif(sum(len), 0) AS mean FROM v JOIN cc USING (vid) GROUP BY cid) SELECT vid FROM v JOIN cc USING (vid) JOIN m USING (cid) WHERE cov >= 0.2::DOUBLE * coalesce(mean, 0)",
-    "u3_merged_arcs": f"WITH {_E}, t AS (SELECT v, w, cov FROM e WHERE v % 4 = 0 OR w % 4 = 0 UNION ALL SELECT v, w, cov FROM e), s AS (SELECT v, w, sum(cov) AS s FROM t GROUP BY ALL) SELECT e.v, e.w, least(s, cov)::BIGINT AS cov FROM s JOIN e USING (v, w)",
+    "u3_merged_arcs": f"WITH {_E}, t AS (SELECT v, w, cov FROM e WHERE cov >= 10 UNION ALL SELECT v, w, cov FROM e), s AS (SELECT v, w, sum(cov) AS s FROM t GROUP BY ALL) SELECT e.v, e.w, least(s, cov)::BIGINT AS cov FROM s JOIN e USING (v, w)",
     "a20_coverage_bound": f"""WITH RECURSIVE {_SUMS}
 SELECT cid, round(0.7::DOUBLE * sum(greatest(0, least(upto::DOUBLE, 0.3::DOUBLE * total) - (upto - len)) * cov) / (0.3::DOUBLE * max(total)), 6) AS bound FROM u WHERE total > 0 GROUP BY cid""",
     "a21_rough_coverage": f"""WITH RECURSIVE {_SUMS}, x AS (SELECT *, min(CASE WHEN upto > 0.7::DOUBLE * total THEN cov END) OVER (PARTITION BY cid) AS edge FROM u WHERE total > 0)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from braidwork.plans import annotations, graphs, problems, sequences
+from braidwork.plans import annotations, assembly, graphs, problems, sequences
 
-MODULES = [problems, sequences, graphs, annotations]
+MODULES = [problems, sequences, graphs, annotations, assembly]
 
 
 def all_queries() -> dict:

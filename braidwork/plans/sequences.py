@@ -55,7 +55,7 @@ def arc_coverage(spark, sf_dir):
 
 def refreshed(spark, sf_dir):
     occ = _occ(spark, sf_dir)
-    known = o.kmer_graph(occ.where("sid % 2 = 0"), MIN_COV, MIN_FRACTION)[1]
+    known = o.kmer_graph(occ, MIN_COV, MIN_FRACTION)[1]
     return o.refresh_coverage(known, occ)
 
 
@@ -150,14 +150,7 @@ SQL = {
     "f1_kept_kmers": f"WITH {_OCC}, {_KM} SELECT kid, cov, cov < {MIN_COV} AS del FROM km",
     "f2_supported_arcs": f"WITH {_GRAPH} SELECT * FROM kept",
     "g1_kmer_graph_arcs": f"WITH {_GRAPH} SELECT va, vr, wa, wr, cov, false AS comp FROM kept UNION ALL SELECT wa, 1 - wr, va, 1 - vr, cov, true FROM kept WHERE NOT (va = wa AND vr <> wr)",
-    "a3_refreshed_coverage": f"""WITH {_OCC}, {_pairs()},
-half AS (SELECT * FROM occ WHERE sid % 2 = 0), half_graph AS (
-  WITH occ AS (SELECT * FROM half), {_pairs()}, {_KM}
-  SELECT c.* FROM cov1 c JOIN km a ON a.kid = va JOIN km b ON b.kid = wa WHERE a.cov >= {MIN_COV} AND b.cov >= {MIN_COV} AND c.cov >= {MIN_FRACTION} * least(a.cov, b.cov)),
-known AS (SELECT va, vr, wa, wr FROM half_graph UNION ALL SELECT wa, 1 - wr, va, 1 - vr FROM half_graph WHERE NOT (va = wa AND vr <> wr))
-SELECT n.va, n.vr, n.wa, n.wr, coalesce(c.cov, d.cov, 0) AS cov FROM known n
-LEFT JOIN cov1 c ON c.va = n.va AND c.vr = n.vr AND c.wa = n.wa AND c.wr = n.wr
-LEFT JOIN cov1 d ON d.va = n.wa AND d.vr = 1 - n.wr AND d.wa = n.va AND d.wr = 1 - n.vr""",
+    "a3_refreshed_coverage": f"WITH {_GRAPH} SELECT va, vr, wa, wr, cov FROM kept UNION ALL SELECT wa, 1 - wr, va, 1 - vr, cov FROM kept WHERE NOT (va = wa AND vr <> wr)",
     "j1_next_occurrence": f"WITH {_OCC}, {_pairs()} SELECT sid, idx, kid, rev, kid2, rev2, idx2 FROM step1",
     "w2_third_next_occurrence": f"WITH {_OCC}, {_pairs(3)} SELECT sid, idx, kid, rev, kid2, rev2, idx2 FROM step3",
     "a4_kmer_histogram": f"WITH {_OCC}, {_KM} SELECT least(cov, 1000) AS mult, count(*) AS n FROM km GROUP BY 1",
