@@ -80,7 +80,7 @@ QUERIES = {
     "f6_considered_hits": lambda s, d: n.considered(a.hits(s, d), RULES).select("hit_id", "gname", "sname"),
     "j8_hits_on_segments": lambda s, d: n.of_segments(a.hits(s, d), a.vertices(s, d)).select("hit_id", "vid", "slen"),
     "o2_ordered_hits": lambda s, d: n.ordered(a.hits(s, d), "segment_place").select("hit_id", "sname", "alifrom", "alito"),
-    "p14_rna_genes": lambda s, d: a.hits(s, d).groupBy("gname").agg(F.count(F.lit(1)).alias("n")).select("gname", n.is_transfer_rna("gname").alias("trn"), n.is_ribosomal_rna("gname").alias("rrn"), "n"),
+    "ann_p14_rna_genes": lambda s, d: a.hits(s, d).groupBy("gname").agg(F.count(F.lit(1)).alias("n")).select("gname", n.is_transfer_rna("gname").alias("trn"), n.is_ribosomal_rna("gname").alias("rrn"), "n"),
     "a17_segment_scores": lambda s, d: _round(n.type_scores(_best(s, d), "vid", RULES.core_genes), "score"),
     "a18_component_genes": lambda s, d: _classes(s, d)[1],
     "a28_gene_table": lambda s, d: _round(n.gene_table(_classes(s, d)[1]), "score", "total"),
@@ -98,7 +98,7 @@ SQL = {
     "f6_considered_hits": f"WITH {_H}, {_USED} SELECT hit_id, gname, sname FROM used",
     "j8_hits_on_segments": f"WITH {_H}, {_V} SELECT hit_id, vid, len AS slen FROM hits JOIN v ON v.name = hits.sname",
     "o2_ordered_hits": f"WITH {_H} SELECT hit_id, sname, alifrom, alito FROM hits ORDER BY sname, alifrom NULLS LAST, alito NULLS LAST, hit_id",
-    "p14_rna_genes": f"WITH {_H} SELECT gname, starts_with(gname, 'trn') AS trn, starts_with(gname, 'rrn') AS rrn, count(*) AS n FROM hits GROUP BY gname",
+    "ann_p14_rna_genes": f"WITH {_H} SELECT gname, starts_with(gname, 'trn') AS trn, starts_with(gname, 'rrn') AS rrn, count(*) AS n FROM hits GROUP BY gname",
     "a17_segment_scores": f"WITH {_BEST}, {_SCORES.format('vid')} SELECT vid, og_type, round(score, 6) AS score FROM scores",
     "a18_component_genes": f"WITH RECURSIVE {_COMP} SELECT * FROM genes",
     "a28_gene_table": f"WITH RECURSIVE {_COMP}, t AS (SELECT og_type, gname, max(score) AS score FROM genes GROUP BY ALL) SELECT og_type, gname, score, sum(score) OVER (PARTITION BY og_type)::BIGINT AS total FROM t",
