@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.operators.onetask import spanning_stars
 from braidwork.storage import materialize
 
 TASK_PAIRS = 2_000_000
@@ -25,29 +26,6 @@ SALT = 8
 MAX_LEVELS = 200
 
 
-def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union-find over pairs: every node but the smallest of its group, and that smallest node."""
-    if len(a) == 0:
-        return a, b
-    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = place[: len(a)], place[len(a) :]
-    parent = np.arange(len(ids))
-    while True:
-        ru, rv = parent[u], parent[v]
-        open_ = ru != rv
-        if not open_.any():
-            break
-        u, v, ru, rv = u[open_], v[open_], ru[open_], rv[open_]
-        np.minimum.at(parent, np.maximum(ru, rv), np.minimum(ru, rv))  # union: the larger root below the smaller
-        while True:  # find: all paths to their roots
-            up = parent[parent]
-            if np.array_equal(up, parent):
-                break
-            parent = up
-    child = parent != np.arange(len(ids))
-    return ids[child], ids[parent[child]]
-
-
 def _forest(task_pairs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
