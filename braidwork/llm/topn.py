@@ -28,17 +28,15 @@ def bounded_heap(item: Column, n: int) -> Column:
     return ClassicColumn(bridge.column(heap.toAggregateExpression()))
 
 
-def _ascending(df: DataFrame, name: str, direction: str) -> list[Column]:
-    """Columns whose ascending order is that of ``name`` in ``direction``, nulls last."""
-    c, kind = F.col(name), df.schema[name].dataType
-    if direction == "desc":
-        if isinstance(kind, (T.DoubleType, T.FloatType)):
-            c = -c
-        elif isinstance(kind, T.IntegralType):
-            c = F.bitwise_not(c)  # -x - 1, without overflow
-        else:
-            raise ValueError(f"descending order needs a number: {name}")
-    return [F.isnull(c), c]
+def _turn(c: Column, kind: T.DataType, direction: str) -> Column:
+    """A column whose ascending order is that of ``c`` in ``direction``; turning it again gives ``c`` back."""
+    if direction != "desc":
+        return c
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return -c
+    if isinstance(kind, T.IntegralType):
+        return F.bitwise_not(c)  # -x - 1, without overflow
+    raise ValueError(f"descending order needs a number, not {kind.simpleString()}")
 
 
 def top_n_per_group(
@@ -55,16 +53,18 @@ def top_n_per_group(
 
     Returns the group, ``rank`` from 1, and the ordered columns.
     """
-    names = [c for c, _ in order]
-    rows = df.select(F.col(group).alias("_g"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(names)])
+    rows = df.select(F.col(group).alias("_g"), *[F.col(c).alias(f"_o{i}") for i, (c, _) in enumerate(order)])
     rows = rows.where("_g is not null")
     if repeated:
         rows = rows.distinct()
-    keys = [k for i, (_, way) in enumerate(order) for k in _ascending(rows, f"_o{i}", way)]
-    item = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(f"_o{i}") for i in range(len(names))])
-    best = rows.groupBy("_g").agg(bounded_heap(item, n).alias("_top"))
+    kinds = [rows.schema[f"_o{i}"].dataType for i in range(len(order))]
+    # Of each column whether it is null, so that nulls come last, and the turned value.
+    keys = []
+    for i, (_, way) in enumerate(order):
+        keys += [F.isnull(f"_o{i}").alias(f"n{i}"), _turn(F.col(f"_o{i}"), kinds[i], way).alias(f"k{i}")]
+    best = rows.groupBy("_g").agg(bounded_heap(F.struct(*keys), n).alias("_top"))
     flat = best.select("_g", F.posexplode("_top").alias("_pos", "_item"))
     return flat.select(
         F.col("_g").alias(group), (F.col("_pos") + 1).alias("rank"),
-        *[F.col(f"_item._o{i}").alias(c) for i, c in enumerate(names)],
+        *[_turn(F.col(f"_item.k{i}"), kinds[i], way).alias(c) for i, (c, way) in enumerate(order)],
     )
