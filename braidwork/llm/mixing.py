@@ -29,7 +29,8 @@ FIT_ROWS = 1000
 WORD_BUCKETS = 128
 FIT_STEPS = 150
 MAX_STEPS = 60
-TOLERANCE = 1e-7
+#: Steps end when the residual, or what a step takes off it, is a smaller part of the mix.
+TOLERANCE = 1e-6
 PLACES = 4096
 
 
@@ -253,8 +254,8 @@ def mix_sources(
     for _ in range(MAX_STEPS if plan.mixes else 0):
         rates = plan.rates(np.eye(k), np.arange(k)).T  # of wholly labelled documents, mixes x sources
         residual = rates * own + summed(plan) - plan.target
-        off = np.abs(residual).max() / max(1.0, plan.target.max())
-        if off < TOLERANCE or (last is not None and abs(last - off) < TOLERANCE):
+        off = np.abs(residual).max(axis=1) / np.maximum(plan.target.sum(axis=1), 1.0)
+        if off.max() < TOLERANCE or (last is not None and np.abs(last - off).max() < TOLERANCE):
             break
         last = off
         plan.steps.append(residual)
