@@ -106,7 +106,11 @@ def align_reads(occ: DataFrame, members: DataFrame, links: DataFrame, covered: f
     sized = frg.join(size, "uid")
     left = sized.where("u_end = n - 1").select("sid", F.col("frg").alias("a"), F.col("uid").alias("v"), F.col("s_end").alias("_e"))
     right = sized.where("u_beg = 0").select("sid", F.col("frg").alias("b"), F.col("uid").alias("w"), F.col("s_beg").alias("_s"))
-    joined = left.join(links.select("v", "w", "ln"), "v").join(right, ["sid", "w"]).where("_s = _e + 1 - ln and a <> b")
+    # Neighbours on the read first: a k-mer with very many links would meet all of them.
+    shared = [r["ln"] for r in links.select(F.col("ln").cast("int").alias("ln")).distinct().collect()]  # at most k values
+    spread = left.withColumn("ln", F.explode(F.array(*[F.lit(x) for x in shared]) if shared else F.array().cast("array<int>")))
+    beside = spread.withColumn("_s", F.col("_e") + 1 - F.col("ln")).join(right, ["sid", "_s"]).where("a <> b")
+    joined = beside.join(links.select("v", "w", F.col("ln").cast("int").alias("ln")).distinct(), ["v", "w", "ln"], "left_semi")
     length = occ.groupBy("sid").agg(F.count(F.lit(1)).alias("total"))
     one = frg.join(length, "sid")
     none = F.lit(None).cast("int")
@@ -123,13 +127,12 @@ def align_reads(occ: DataFrame, members: DataFrame, links: DataFrame, covered: f
         for a, b, ln in frame[~frame["b"].isna()][["frg", "b", "ln"]].sort_values(["frg", "b"]).astype(int).itertuples(index=False):
             after[a].append(b)
             shared[a, b] = ln
+        at = [tuple(r) for r in f[["uid", "u_beg", "u_end", "s_beg", "s_end"]].astype(int).itertuples(index=False)]
         top, chains = best_chains(f["score"].astype(int).tolist(), after)
-        at = f.set_index("frg")
-        used = lambda path: sum(int(at.at[i, "s_end"] - at.at[i, "s_beg"]) + 1 for i in path) - sum(shared[x] for x in zip(path, path[1:]))
+        used = lambda path: sum(at[i][4] - at[i][3] + 1 for i in path) - sum(shared[x] for x in zip(path, path[1:]))
         total = int(f["total"].iat[0])
         chains = [c for c in chains if used(c) >= covered * total]
-        cols = ["uid", "u_beg", "u_end", "s_beg", "s_end"]
-        rows = [(frame["sid"].iat[0], k, i, *(int(at.at[x, c]) for c in cols), top, len(chains)) for k, path in enumerate(chains) for i, x in enumerate(path)]
+        rows = [(frame["sid"].iat[0], k, i, *at[x], top, len(chains)) for k, path in enumerate(chains) for i, x in enumerate(path)]
         return pd.DataFrame(rows, columns=names)
 
     return both.unionByName(edge).groupBy("sid").applyInPandas(run, ALIGNED)

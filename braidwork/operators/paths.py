@@ -55,7 +55,7 @@ def path_sequences(steps: DataFrame, vertices: DataFrame, arcs: DataFrame, circu
     rows = placed_steps(steps, vertices, arcs, circular, gap).withColumn("vid", F.shiftright("v", 1)).join(vertices.select("vid", "seq"), "vid", "left")
     known = F.coalesce("seq", F.repeat(F.lit("N"), F.coalesce("slen", F.lit(0)).cast("int")))
     strand = F.when(F.col("rev") == 1, reverse_complement(known)).otherwise(known)
-    piece = F.substring(strand, F.col("trim").cast("int") + 1, F.length(strand))
+    piece = F.substr(strand, F.col("trim").cast("int") + 1)
     upto = F.lag(F.col("offset") + F.col("slen") - F.col("trim"), 1, 0).over(Window.partitionBy("path_id").orderBy("pos"))
     rows = rows.withColumn("_gap", F.greatest(F.col("offset") - upto, F.lit(0)).cast("int"))
     piece = F.concat(F.repeat(F.lit("N"), F.col("_gap")), piece)

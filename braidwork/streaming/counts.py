@@ -18,6 +18,6 @@ def kmer_counts(records: DataFrame, window: str = "1 hour", late: str = "2 days"
     holds a third of all records is combined before the shuffle.
     """
     live = records.where("del = false and h is not null and rec_id is not null and seen_at is not null")
-    once = live.select("rec_id", "h", "seen_at").withWatermark("seen_at", late).dropDuplicatesWithinWatermark(["rec_id"])
+    once = live.select("rec_id", "h", F.col("seen_at").cast("timestamp").alias("seen_at")).withWatermark("seen_at", late).dropDuplicatesWithinWatermark(["rec_id"])
     counts = once.groupBy(F.window("seen_at", window).alias("w"), "h").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("w.start").alias("beg"), F.col("w.end").alias("fin"), "h", "n")
