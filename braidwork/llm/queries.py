@@ -85,6 +85,11 @@ QUERIES = {
 _RANKED = """ranked AS (
   SELECT *, row_number() OVER (PARTITION BY sname ORDER BY score DESC, evalue ASC NULLS LAST, gname ASC NULLS LAST, hit_id) AS rank
   FROM (SELECT DISTINCT sname, hit_id, score, evalue, gname FROM annot WHERE sname IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)))"""
+_WORDS = r"""w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '\p{L}+'), lambda x: lower(x)) AS w FROM documents),
+gram AS (SELECT doc_id, i, w[i:i + 4] AS g FROM w, range(1, len(w) - 3) t(i)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, g) AS first FROM gram) WHERE i > first),
+marked AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM again, range(0, 5) t(o) GROUP BY doc_id),
+measured AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_repeated FROM w LEFT JOIN marked USING (doc_id))"""
 _REC = "live AS (SELECT DISTINCT rec_id, h, s FROM syncmers WHERE del = false)"
 
 SQL = {
@@ -100,6 +105,8 @@ g(node, root) USING KEY (node) AS (
   SELECT x.b AS node, min(g.root) AS root FROM g JOIN both_ways x ON x.a = g.node JOIN recurring.g AS old ON old.node = x.b
   WHERE g.root < old.root GROUP BY x.b)
 SELECT root AS root_vid, node AS vid FROM g WHERE root <> node""",
+    "p8_shares": f"WITH {_WORDS} SELECT doc_id, n_words, n_repeated, CASE WHEN n_words > 0 THEN n_repeated / n_words ELSE 0.0 END::DOUBLE AS share FROM measured",
+    "p8_found": f"WITH {_WORDS} SELECT doc_id FROM measured WHERE n_words >= 20 AND 10 * n_repeated >= 3 * n_words",
     "p5_found": f"""
 WITH {_REC}, c AS (SELECT 'h' AS col_name, h AS item, count(*) AS n FROM live GROUP BY h UNION ALL SELECT 's', s, count(*) FROM live GROUP BY s)
 SELECT col_name, item FROM c WHERE item IS NOT NULL AND n * {ONE_IN} >= (SELECT count(*) FROM live)""",
