@@ -33,9 +33,10 @@ def test_external_search(spark):
     assert sum(int(r["value"]) for r in got) == 5 and len(got) == 3
 
 
-def test_stream_counts_equal_batch(spark, sf_dir):
+def test_stream_counts_equal_batch(spark, sf_dir, tmp_path):
     rows = spark.read.parquet(f"{sf_dir}/syncmers.parquet")
-    folder = f"{sf_dir}/syncmers.parquet"
+    folder = str(tmp_path / "records")
+    rows.coalesce(1).write.parquet(folder)
     source = spark.readStream.schema(rows.schema).parquet(folder)
     query = kmer_counts(source, "1 day", "1 second").writeStream.outputMode("append").format("memory").queryName("stream_counts").start()
     query.processAllAvailable()
