@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 _local_dirs: list[str] = []
 _written: list[str] = []
+_registered: list[bool] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -45,13 +46,32 @@ def materialize(df: DataFrame) -> tuple[DataFrame, int]:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     _written.append(path)
+    _remember(spark)
     return spark.read.schema(df.schema).parquet(path), int(seen.get["n"] or 0)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete all tables written so far. Call it when no result of this session is needed any more."""
+    """Delete all tables written so far. Call it when no result of this session is needed any more.
+
+    What is left at the end of the process is deleted then.
+    """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+def _remember(spark: SparkSession) -> None:
+    """Have :func:`release` run once at the end of the process, if the session is still there."""
+    if _registered:
+        return
+    _registered.append(True)
+
+    def last() -> None:
+        try:
+            release(spark)
+        except Exception:  # the session or its JVM has gone; the folder's owner cleans up
+            pass
+
+    atexit.register(last)
