@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions.editing import align, cigar_text
+from braidwork.operators.onetask import spread
 
 FRAGMENTS = "sid bigint, frg int, uid bigint, u_beg int, u_end int, s_beg int, s_end int, score int"
 ALIGNED = "sid bigint, aln_id int, frag int, uid bigint, u_beg int, u_end int, s_beg int, s_end int, score int, n_aln int"
@@ -68,7 +69,7 @@ def fragments(pairs: DataFrame) -> DataFrame:
         rows.sort(key=lambda r: (r[3], r[4], r[0], r[1]))
         return pd.DataFrame([(frame["sid"].iat[0], i, *r) for i, r in enumerate(rows)], columns=[c.split()[0] for c in FRAGMENTS.split(", ")])
 
-    return pairs.select("sid", "uid", "s", "u").groupBy("sid").applyInPandas(run, FRAGMENTS)
+    return spread(pairs.select("sid", "uid", "s", "u"), "sid").groupBy("sid").applyInPandas(run, FRAGMENTS)
 
 
 def best_chains(score: list[int], after: dict[int, list[int]]) -> tuple[int, list[list[int]]]:
@@ -108,8 +109,8 @@ def align_reads(occ: DataFrame, members: DataFrame, links: DataFrame, covered: f
     right = sized.where("u_beg = 0").select("sid", F.col("frg").alias("b"), F.col("uid").alias("w"), F.col("s_beg").alias("_s"))
     # Neighbours on the read first: a k-mer with very many links would meet all of them.
     shared = [r["ln"] for r in links.select(F.col("ln").cast("int").alias("ln")).distinct().collect()]  # at most k values
-    spread = left.withColumn("ln", F.explode(F.array(*[F.lit(x) for x in shared]) if shared else F.array().cast("array<int>")))
-    beside = spread.withColumn("_s", F.col("_e") + 1 - F.col("ln")).join(right, ["sid", "_s"]).where("a <> b")
+    offered = left.withColumn("ln", F.explode(F.array(*[F.lit(x) for x in shared]) if shared else F.array().cast("array<int>")))
+    beside = offered.withColumn("_s", F.col("_e") + 1 - F.col("ln")).join(right, ["sid", "_s"]).where("a <> b")
     joined = beside.join(links.select("v", "w", F.col("ln").cast("int").alias("ln")).distinct(), ["v", "w", "ln"], "left_semi")
     length = occ.groupBy("sid").agg(F.count(F.lit(1)).alias("total"))
     one = frg.join(length, "sid")
@@ -135,7 +136,7 @@ def align_reads(occ: DataFrame, members: DataFrame, links: DataFrame, covered: f
         rows = [(frame["sid"].iat[0], k, i, *at[x], top, len(chains)) for k, path in enumerate(chains) for i, x in enumerate(path)]
         return pd.DataFrame(rows, columns=names)
 
-    return both.unionByName(edge).groupBy("sid").applyInPandas(run, ALIGNED)
+    return spread(both.unionByName(edge), "sid").groupBy("sid").applyInPandas(run, ALIGNED)
 
 
 def informative(occ: DataFrame, before: DataFrame) -> DataFrame:
@@ -229,7 +230,7 @@ def shared_intervals(aln: DataFrame) -> DataFrame:
                 out.append((frame["sid"].iat[0], beg, end - 1, sorted({int(u) >> 1 for u in over["uid"]})))
         return pd.DataFrame(out, columns=["sid", "beg", "fin", "uids"])
 
-    return aln.groupBy("sid").applyInPandas(run, "sid bigint, beg int, fin int, uids array<bigint>")
+    return spread(aln, "sid").groupBy("sid").applyInPandas(run, "sid bigint, beg int, fin int, uids array<bigint>")
 
 
 def edit_alignments(pairs: DataFrame, target: str, query: str, key: str, band: int, extend: bool = False) -> DataFrame:

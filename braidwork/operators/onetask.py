@@ -15,6 +15,15 @@ from pyspark.sql import DataFrame
 TASK_ROWS = 1_000_000
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Groups spread over as many tasks as the session has shuffle partitions.
+
+    Groups worked on in Python cost far more than their bytes say, by which adaptive
+    execution would put them into a few tasks; a number given outright is kept.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def in_one_task(df: DataFrame, work: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
     """``work`` on the columns of ``df`` as arrays; ``df`` is known to have at most TASK_ROWS rows."""
 
