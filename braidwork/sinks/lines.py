@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.functions.sequence import wrap
-from braidwork.operators.annotation import lifted  # noqa: F401  (BED rows come from it)
 from braidwork.operators.graph import turned
 
 #: Fixed value: the first line of a BED file.
@@ -57,10 +56,10 @@ def sequence_lines(rows: DataFrame, name: str = "name", seq: str = "seq", width:
 
 
 def write_lines(lines: DataFrame, path: str, header: str | None = None, one_file: bool = False) -> None:
-    """Write text; ``one_file`` brings all lines into one task, for results meant for a person."""
+    """Write text; ``one_file`` brings all lines into one task, for results meant for a person. A header needs one file."""
     if header is not None:
-        head = lines.sparkSession.createDataFrame([(0, header)], "k int, value string")
-        lines = head.unionByName(lines.select(F.lit(1).alias("k"), "value")).coalesce(1).select("value") if one_file else lines
+        head = lines.sparkSession.createDataFrame([(header,)], "value string")
+        lines, one_file = head.unionByName(lines.select("value")), True
     (lines.coalesce(1) if one_file else lines).write.mode("overwrite").text(path)
 
 
