@@ -86,9 +86,8 @@ def _copies(s, d):
 
 
 def _paths(s, d):
-    """Paths of the components of up to 12 segments: that many ways can be listed in whole."""
     place, copies = _copies(s, d)
-    return materialize(organelle.all_paths(a.vertices(s, d), sym(s, d), place, copies, max_paths=2000, limit=12))[0]
+    return materialize(organelle.all_paths(a.vertices(s, d), sym(s, d), place, copies))[0]
 
 
 def _chosen(s, d):

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from braidwork.functions.editing import align, cigar_text, render
 from braidwork.operators.align import align_reads, best_chains, chain_seeds, common_blocks, link_coverage, shared_intervals, triplet_scores
 from braidwork.operators.localgraph import LocalGraph, choose, rank_correlation, rotated_by_genes
-from braidwork.operators.organelle import choose_seeds, minicircles, recalled, repeat_unit
+from braidwork.operators.organelle import all_paths, choose_seeds, minicircles, recalled, repeat_unit
 from braidwork.operators.syncmer import closed_syncmers, closed_syncmers_sql, select
 from braidwork.operators.unzip import demultiplex, multiplex
+from braidwork.plans import assembly
 from braidwork.plans.assemble import AssemblyConfig, PathConfig, assemble, contigs, find_paths
 
 DNA = st.text(alphabet="ACGT", max_size=30)
@@ -142,6 +143,26 @@ def test_paths_of_a_ring_with_inverted_repeat():
     assert g.balanced_copies(10.0, {0: 1, 1: 2, 2: 1})[1] == 2
 
 
+def test_long_rings_and_chains_are_enumerated(spark):
+    n, m = 5100, 30
+    one = [(2 * i, 2 * ((i + 1) % n)) for i in range(n)] + [(2 * i, 2 * i + 2) for i in range(n, n + m - 1)]
+    vs = spark.createDataFrame([(i, 100, 10) for i in range(n + m)], "vid bigint, len bigint, cov bigint")
+    es = spark.createDataFrame([(v, w, 10, 5) for a, b in one for v, w in ((a, b), (b ^ 1, a ^ 1))], "v bigint, w bigint, ls bigint, cov bigint")
+    place = vs.select("vid", F.when(F.col("vid") < n, 0).otherwise(1).cast("bigint").alias("cid"))
+    got = all_paths(vs, es, place, vs.select("vid", F.lit(1).alias("copy"))).orderBy("cid").collect()
+    assert [(r["cid"], r["status"], len(r["v"]), r["len"], r["circ"]) for r in got] == [(0, "ok", n, 90 * n, True), (1, "ok", m, 90 * m + 10, False)]
+    g = LocalGraph({i: 10 for i in range(4)}, dict.fromkeys(range(4), 1.0))
+    for v, w in ((0, 2), (2, 4), (4, 2), (4, 6)):
+        g.add(v, w, 1)
+    assert g.best_circle_within([0, 2, 4, 2, 4, 6], 0.5) == [2, 4, 2, 4] and g.best_circle_within([0, 2, 4, 6], 0.9) is None
+
+
+def test_path_queries_leave_no_component_out(spark, sf_dir):
+    _, copies = assembly._copies(spark, sf_dir)
+    got = assembly.QUERIES["c3_paths"](spark, sf_dir).cache()
+    assert got.select("cid").distinct().count() == copies.select("cid").distinct().count() and not got.where("status = 'too_large'").count()
+
+
 def test_choice_and_gene_order():
     assert choose([(100, 1.0, False, 0.0), (95, 1.0, True, 0.0)]) == 1 and choose([(100, 1.0, False, 0.0), (80, 1.0, True, 0.0)]) == 0 and choose([]) is None
     assert rank_correlation([0, 1, 2], [5, 6, 9]) == 1 and rank_correlation([0, 1, 2], [9, 6, 5]) == -1
