@@ -106,7 +106,7 @@ def _seeds(s, d):
     best = annotation.best_genes(annotation.of_segments(annotation.considered(a.hits(s, d)), v), "vid")
     kinds = organelle.cluster_types(clusters, annotation.type_scores(best, "vid"), v)
     counts, _ = materialize(organelle.gene_counts(best))
-    return organelle.seed_graphs(v, sym(s, d), place, clusters, kinds, counts, annotation.MITO, 3_000_000, limit=2000).select("cid", "part", "vid", F.round("cov", 6).alias("cov"))
+    return organelle.seed_graphs(v, sym(s, d), place, clusters, kinds, counts, annotation.MITO, 3_000_000).select("cid", "part", "vid", F.round("cov", 6).alias("cov"))
 
 
 def _folder(s, name):

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from braidwork.functions.editing import align, cigar_text, render
 from braidwork.operators.align import align_reads, best_chains, chain_seeds, common_blocks, link_coverage, shared_intervals, triplet_scores
+from braidwork.operators.annotation import MITO, PLTD
 from braidwork.operators.localgraph import LocalGraph, choose, rank_correlation, rotated_by_genes
-from braidwork.operators.organelle import all_paths, choose_seeds, minicircles, recalled, repeat_unit
+from braidwork.operators.organelle import all_paths, choose_seeds, minicircles, recalled, repeat_unit, seed_graphs
 from braidwork.operators.syncmer import closed_syncmers, closed_syncmers_sql, select
 from braidwork.operators.unzip import demultiplex, multiplex
 from braidwork.plans import assembly
@@ -181,6 +182,19 @@ def test_seeds_and_recall():
     assert recalled(g, {0, 1}) == {0, 1, 3}
 
 
+def test_seeds_of_a_large_component_with_many_clusters(spark):
+    # Every segment is a cluster of its own; 4,095 and 4,199 must stay two. Segment 4,199 has genes, its neighbour 4,095 has none.
+    n = 5100
+    vs = spark.createDataFrame([(i, 20_000, 10) for i in range(n)], "vid bigint, len bigint, cov bigint")
+    es = spark.createDataFrame([(v, w, 0, 5) for i in range(n - 1) for v, w in ((2 * i, 2 * i + 2), (2 * i + 3, 2 * i + 1))], "v bigint, w bigint, ls bigint, cov bigint")
+    place = vs.select("vid", F.lit(0).cast("bigint").alias("cid"))
+    clusters = place.withColumn("clust", F.col("vid"))
+    kinds = clusters.select("cid", "clust", F.when(F.col("clust") == 4199, MITO).otherwise(PLTD).alias("og_type"))
+    counts = spark.createDataFrame([(4199, MITO, 5000)], "vid bigint, og_type int, genes bigint")
+    got = seed_graphs(vs, es, place, clusters, kinds, counts, MITO, 30_000).collect()
+    assert [(r["cid"], r["part"], r["vid"], r["cov"]) for r in got] == [(0, 0, 4199, 10.0)]
+
+
 def test_minicircle_units(spark):
     assert repeat_unit([2, 4, 0, 2, 4, 0, 2], 0) == [0, 2, 4] and repeat_unit([0, 2, 0, 4], 0) is None
     assert repeat_unit([5, 3, 1, 5, 3, 1], 0) == [0, 2, 4]
