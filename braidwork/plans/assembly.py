@@ -165,6 +165,13 @@ def _edit(s, d):
     return pairs.select("a", "b", F.levenshtein("a", "b").alias("score"))
 
 
+def _edit_all(s, d):
+    """All pairs of gene names; there are as many names as a gene set has, whatever the number of hits."""
+    genes = materialize(a.hits(s, d).select("gname").distinct())[0]
+    pairs = genes.select(F.col("gname").alias("a")).crossJoin(genes.select(F.col("gname").alias("b"))).where("a < b")
+    return pairs.select("a", "b", F.levenshtein("a", "b").alias("score"))
+
+
 def _edit_reads(s, d):
     """Each read against the next of the same name, within 60 edits."""
     reads = table(s, d, "reads").where("seq is not null and name is not null")
@@ -204,6 +211,7 @@ QUERIES = {
     "g15_multiplexed": _multiplexed,
     "g16_demultiplexed": _demultiplexed,
     "e1_edit_scores": _edit,
+    "e1_all_edit_scores": _edit_all,
     "e1_edit_alignments": _edit_reads,
     "e2_error_kmers": _errors,
     "e5_recounted": _recounted,

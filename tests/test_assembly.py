@@ -42,6 +42,13 @@ def test_edit_distance_and_trace(a, b):
     assert align(a, b, band=got.score).score == got.score and (not got.score or align(a, b, band=got.score - 1) is None)
 
 
+def test_all_gene_names_are_scored(spark, sf_dir):
+    got = assembly.QUERIES["e1_all_edit_scores"](spark, sf_dir).collect()
+    names = {r["a"] for r in got} | {r["b"] for r in got}
+    assert len(got) == len({(r["a"], r["b"]) for r in got}) == len(names) * (len(names) - 1) // 2
+    assert any(r["a"][:3] != r["b"][:3] for r in got) and all(r["score"] == edit(r["a"], r["b"]) for r in got)
+
+
 def test_extension_and_rendering():
     got = align("ACGTACGT", "ACGT", extend=True)
     assert (got.score, got.target_end, got.query_end) == (0, 4, 4)
