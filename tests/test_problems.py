@@ -49,6 +49,24 @@ def test_intervals_over_many_shards_and_empty(spark):
     assert merge_intervals(df.limit(0), ["k"], "a", "b").count() == 0
 
 
+@pytest.mark.parametrize("width", [4, 64, 1 << 16])
+def test_wide_intervals(spark, width):
+    """Intervals of any width cost no more than a few pieces; cells inside them hold nothing of their own."""
+    rng = random.Random(width)
+    far = {4: 250, 64: 250_000, 1 << 16: 2**62}[width]
+    rows = [("a", 5, far), ("a", far + 2, far + 10), ("b", -far, 7), ("b", 9, far // 3), ("b", far, far)]
+    for key, axis in (("c", far // 100), ("d", far)):
+        for _ in range(120):
+            a = rng.randrange(-axis - 1, axis)
+            rows.append((key, a, a + rng.choice([0, 1, 5, width, axis // 50])))
+    if width > 64:
+        rows += [("f", -(2**63), -(2**63) + 9), ("f", 2**63 - 9, 2**63 - 1), ("g", -(2**63), 2**63 - 1), ("h", 0, 10**12), ("h", 10**12 + 2, 10**12 + 3)]
+    df = spark.createDataFrame(rows, "k string, a bigint, b bigint").repartition(3)
+    got = [tuple(r) for r in merge_intervals(df, ["k"], "a", "b", width).select("k", "kind", "beg", "fin").collect()]
+    want = {(k, kind, beg, fin) for k, _, kind, beg, fin in periods([(k, 0, a, b) for k, a, b in rows])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_partial_combining_comes_before_the_shuffle(spark):
     df = spark.createDataFrame([("a", 0, 2000)], "k string, a int, b int")
     plan = merge_intervals(df, ["k"], "a", "b")._jdf.queryExecution().executedPlan().toString()
