@@ -18,11 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.operators.onetask import spanning_stars
+from braidwork.operators.skew import HOT_PARTS
 from braidwork.storage import materialize
 
 TASK_PAIRS = 2_000_000
-#: Copies of the chain links, so that a root with a third of all stars isn't one group.
-SALT = 8
 MAX_LEVELS = 200
 
 
@@ -69,20 +68,27 @@ def connected_groups(pairs: DataFrame, a: str, b: str, task_pairs: int = TASK_PA
         if n <= task_pairs:
             return materialize(stars.repartition(1).mapInArrow(grow, "node bigint, root bigint"))[0]
         parts = -(-2 * n // task_pairs)
-        met, _ = materialize(stars.repartition(parts, "node").mapInArrow(grow, "node bigint, root bigint"))
-        # A root that is itself a node of another star is a chain: hang its members one up.
-        up = met.groupBy("node").agg(F.min("root").alias("up"), F.count(F.lit(1)).alias("stars"))
-        roots = met.select(F.col("root").alias("node")).distinct()
-        chain = roots.join(up, "node").select(F.col("node").alias("root"), "up")
-        chain = chain.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        hung = (
-            met.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
-            .join(chain, ["root", "salt"], "left")
-            .select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().cast("int").alias("moved"))
-        )
-        table, n = materialize(hung)
-        left = table.agg(F.sum("moved").alias("moved"), F.count_distinct("node").alias("nodes")).first()
-        stars = table.select("node", "root")
-        if n > task_pairs and not left["moved"] and left["nodes"] == n:
-            return stars  # every node has one star, and no root is a node
+        met, n = materialize(stars.repartition(parts, "node").mapInArrow(grow, "node bigint, root bigint"))
+        up, nodes = materialize(met.groupBy("node").agg(F.min("root").alias("up")))
+        sizes = met.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        chain = sizes.join(up.select(F.col("node").alias("root"), "up"), "root", "left")
+        chain, _ = materialize(chain.where(F.col("up").isNotNull() | (F.col("n") >= n // HOT_PARTS + 1)))
+        if n > task_pairs and nodes == n and chain.where("up is not null").isEmpty():
+            return met  # every node has one star, and no root is a node
+        stars, n = materialize(_hung(met, chain, n))
     raise RuntimeError(f"groups didn't settle in {MAX_LEVELS} levels")
+
+
+def _hung(stars: DataFrame, chain: DataFrame, total: int) -> DataFrame:
+    """A root that is itself a node of other stars is a chain; its members hang one up.
+
+    ``chain``: root, n (its stars), up (null if it isn't a node). Roots with more than one
+    in HOT_PARTS of the stars, of which there are fewer than HOT_PARTS, are looked up where
+    the stars lie; only the others are shuffled by root.
+    """
+    large = F.col("n") >= total // HOT_PARTS + 1
+    hot = F.broadcast(chain.where(large).select("root", "up"))
+    cold = chain.where(~large).select("root", "up").hint("merge")
+    rest = stars.join(hot.select("root"), "root", "left_anti").join(cold, "root", "left")
+    every = stars.join(hot, "root").unionByName(rest)
+    return every.select("node", F.coalesce("up", "root").alias("root"))

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from braidwork.llm import components
 from braidwork.llm.components import connected_groups, spanning_stars
 
 
@@ -57,5 +58,13 @@ def test_groups(spark, kind, task_pairs):
     assert set(got) == brute(pairs)
 
 
+def test_hot_and_other_roots_in_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_PARTS", 4)
+    rng = random.Random(9)
+    pairs = [(0, i) for i in range(1, 400)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(400)]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(5)
+    assert {tuple(r) for r in connected_groups(df, "a", "b", 60).select("node", "root").collect()} == brute(pairs)
+
+
 def test_empty(spark):
     assert connected_groups(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
