@@ -35,7 +35,7 @@ def frequent_values(df: DataFrame, columns: Sequence[str], one_in: int) -> DataF
     An empty table has no frequent value.
     """
     counts = _counts(df, columns)
-    total = counts.where(F.col("col_name") == columns[0]).agg(F.sum("n").alias("total"))
+    total = df.agg(F.count(F.lit(1)).alias("total"))
     first = None
     for c in columns:
         places = counts.where((F.col("col_name") == c) & F.col("item").isNotNull())
