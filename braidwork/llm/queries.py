@@ -46,10 +46,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose ids don't decode to their text; null and empty texts decode to the empty one."""
+    """Of every document its size in characters and whether its ids decode to its text; null decodes to the empty one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
     back = encode.decode_ids(encode.encode_texts(docs, "doc_id", "body"))
-    return back.join(docs, "doc_id").where("text <> body").select("doc_id")
+    both = docs.join(back, "doc_id", "left")
+    return both.select("doc_id", F.length("body").cast("bigint").alias("chars"), F.coalesce(F.col("text") == F.col("body"), F.lit(False)).alias("equal"))
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -95,6 +96,7 @@ _REC = "live AS (SELECT DISTINCT rec_id, h, s FROM syncmers WHERE del = false)"
 SQL = {
     "p1_found": f"WITH {_RANKED} SELECT sname, hit_id FROM ranked WHERE rank <= {BEST_HITS}",
     "p1_top_hits": f"WITH {_RANKED} SELECT sname, rank::INT AS rank, score, evalue, gname, hit_id FROM ranked WHERE rank <= {BEST_HITS}",
+    "p6_round_trip": "SELECT doc_id, coalesce(length(text), 0)::BIGINT AS chars, true AS equal FROM documents",
     "p2_found": """
 WITH RECURSIVE e AS (
   SELECT DISTINCT v >> 1 AS a, w >> 1 AS b FROM arcs WHERE del = false AND v IS NOT NULL AND w IS NOT NULL),
