@@ -1,8 +1,10 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
+from braidwork.llm import topn
 from braidwork.llm.topn import top_n_per_group
 
 SCHEMA = "g string, score double, e double, name string, id bigint, rank int, _g string"
@@ -58,3 +60,22 @@ def test_heap_is_built_before_the_shuffle(spark):
     df = spark.createDataFrame([("a", 1.0, None, None, 1, 0, "")], SCHEMA)
     plan = top_n_per_group(df, "g", ORDER, 3)._jdf.queryExecution().executedPlan().toString()
     assert "partial_collect_top_k" in plan
+
+
+def test_repeats_are_dropped_in_the_task_and_one_shuffle_is_left(spark):
+    df = spark.createDataFrame([("a", 1.0, None, None, 1, 0, "")], SCHEMA)
+    plan = top_n_per_group(df, "g", ORDER, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")
+
+
+@pytest.mark.parametrize("chunk", [1, 50, 100_000])
+def test_many_groups_in_small_chunks_without_the_queue(spark, monkeypatch, chunk):
+    rng = random.Random(chunk)
+    rows = [(f"g{rng.randrange(60)}", rng.choice([1.0, 2.0, None]), 0.5, rng.choice(["a", None]), rng.randrange(30), 0, "") for _ in range(800)]
+    local = topn._local
+    monkeypatch.setattr(topn, "CHUNK", chunk)
+    batches = [pa.RecordBatch.from_pylist([dict(zip("gabcd", r[:5])) for r in rows[i : i + 70]]) for i in range(0, 800, 70)]
+    kept = [tuple(x.values()) for b in local([w for _, w in ORDER], 3)(iter(batches)) for x in b.to_pylist()]
+    assert set(kept) <= {r[:5] for r in rows} and brute([(*r, 0, "") for r in kept], 3) == brute(rows, 3)
+    monkeypatch.setattr(topn, "bounded_heap", lambda item, n: None)
+    assert {tuple(r) for r in top_n_per_group(spark.createDataFrame(rows, SCHEMA), "g", ORDER, 3).collect()} == brute(rows, 3)
