@@ -77,3 +77,23 @@ def test_classifier_on_held_out_rows():
     x, y = np.stack([features(t, "en") for t, _ in made]).astype(float), np.array([k for _, k in made])
     model = SourceClassifier.fit(x[:200], y[:200], ["a", "b"], np.array([1.0, 1.0]))
     assert (model.posterior(x[200:]).argmax(axis=1) == y[200:]).mean() > 0.95
+
+
+def test_sizes_alone_tell_sources_apart_and_cells_are_calibrated():
+    rng = np.random.default_rng(6)
+    sizes = {0: 5, 1: 60}
+    made = [(" ".join(rng.choice([f"w{j}x" for j in range(500)], rng.poisson(sizes[k]) + 1)), k) for k in rng.choice(2, 3000, p=[0.8, 0.2])]
+    x, y = np.stack([features(t, "en") for t, _ in made]).astype(float), np.array([k for _, k in made])
+    model = SourceClassifier.fit(x[:1500], y[:1500], ["a", "b"], np.bincount(y[:1500]).astype(float))
+    got = model.shares[model.cells(x[1500:])]
+    assert (got.argmax(axis=1) == y[1500:]).mean() > 0.95
+    assert abs(got.mean(axis=0)[1] - (y[1500:] == 1).mean()) < 0.03
+    assert len(model.centres) <= 64 and np.allclose(model.shares.sum(axis=1), 1)
+
+
+def test_unlabelled_documents_count_by_their_cell(spark):
+    ask = spark.createDataFrame([("m", "big", 1.0, 1), ("m", "small", 1.0, 2)], ASK)
+    taken, shares = mix_sources(documents(spark, 3), ask)
+    got = {r["source"]: r for r in shares.collect()}
+    assert abs(got["big"]["expected_share"] - 0.5) < 0.01 and abs(got["big"]["expected_share"] + got["small"]["expected_share"] - 1) < 1e-9
+    assert taken.where("copies > 2 or (source = 'big' and copies > 1)").count() == 0
