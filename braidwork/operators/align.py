@@ -8,7 +8,7 @@ Python, on groups as large as a read.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from braidwork.functions.editing import align, cigar_text
 from braidwork.operators.onetask import spread
+from braidwork.operators.skew import join_by_key
+from braidwork.storage import materialize
 
 FRAGMENTS = "sid bigint, frg int, uid bigint, u_beg int, u_end int, s_beg int, s_end int, score int"
 ALIGNED = "sid bigint, aln_id int, frag int, uid bigint, u_beg int, u_end int, s_beg int, s_end int, score int, n_aln int"
-MAX_CHAINS = 1000
+#: Equally good chains of a read that are listed; a read with more has one row that says how many.
+MAX_CHAINS = 100_000
 
 
 def member_index(members: DataFrame) -> DataFrame:
@@ -32,7 +35,12 @@ def member_index(members: DataFrame) -> DataFrame:
 
 def seeds(occ: DataFrame, index: DataFrame) -> DataFrame:
     """``sid, uid, s, u, n``: reads' k-mers on oriented unitigs, with the place read in that orientation."""
-    rows = occ.select("sid", "idx", "v", F.shiftright("v", 1).alias("vid")).join(index, "vid")
+    # A k-mer with a tenth of all occurrences is looked up where these lie.
+    own = occ.select("sid", "idx", "v", F.shiftright("v", 1).alias("vid"))
+    seen, total = materialize(own.groupBy("vid").agg(F.count(F.lit(1)).alias("_n")))
+    total = seen.agg(F.sum("_n")).first()[0] or 0
+    places = index.groupBy("vid").agg(F.collect_list(F.struct("uid", "rev", "pos", "n")).alias("_at")).join(seen, "vid")
+    rows = join_by_key(own, places, "vid", "_n", total).select("sid", "idx", "v", F.inline("_at"))
     turned = F.col("v").bitwiseAND(F.lit(1).cast("bigint")) != F.col("rev")
     return rows.select(
         "sid", (F.col("uid") * 2 + turned.cast("bigint")).alias("uid"), F.col("idx").cast("int").alias("s"),
@@ -73,24 +81,36 @@ def fragments(pairs: DataFrame) -> DataFrame:
 
 
 def best_chains(score: list[int], after: dict[int, list[int]]) -> tuple[int, list[list[int]]]:
-    """The best total and all ways to reach it, of items in an order that ``after`` respects (no more than MAX_CHAINS)."""
+    """The best total and all ways to reach it, of items in an order that ``after`` respects; none if there are more than MAX_CHAINS."""
+    best, nexts, starts, n = _best_ways(score, after)
+    out: list[list[int]] = []
+    stack = [[i] for i in reversed(starts)] if n <= MAX_CHAINS else []
+    while stack:
+        path = stack.pop()
+        if not nexts[path[-1]]:
+            out.append(path)
+        stack += [path + [j] for j in reversed(nexts[path[-1]])]
+    return best, out
+
+
+def count_chains(score: list[int], after: dict[int, list[int]]) -> int:
+    """How many ways reach the best total, without listing them."""
+    return _best_ways(score, after)[3]
+
+
+def _best_ways(score: list[int], after: dict[int, list[int]]) -> tuple[int, list[list[int]], list[int], int]:
+    """The best total, the items after each on a best way, those that begin one, and the number of best ways."""
     n = len(score)
-    best = list(score)
+    best, nexts, ways = list(score), [[] for _ in score], [1] * n
     for i in reversed(range(n)):
-        best[i] += max([best[j] for j in after.get(i, [])], default=0)
+        rest = max([best[j] for j in after.get(i, [])], default=0)
+        if rest:
+            nexts[i] = [j for j in after[i] if best[j] == rest]
+            ways[i] = sum(ways[j] for j in nexts[i])
+        best[i] += rest
     top = max(best, default=0)
     starts = [i for i in range(n) if best[i] == top]
-    out: list[list[int]] = []
-    stack = [[i] for i in reversed(starts)]
-    while stack and len(out) < MAX_CHAINS:
-        path = stack.pop()
-        i = path[-1]
-        rest = best[i] - score[i]
-        nexts = [j for j in after.get(i, []) if best[j] == rest] if rest else []
-        if not nexts:
-            out.append(path)
-        stack += [path + [j] for j in reversed(nexts)]
-    return top, out
+    return top, nexts, starts, sum(ways[i] for i in starts)
 
 
 def align_reads(occ: DataFrame, members: DataFrame, links: DataFrame, covered: float = 0.9) -> DataFrame:
@@ -98,7 +118,8 @@ def align_reads(occ: DataFrame, members: DataFrame, links: DataFrame, covered: f
 
     Two fragments follow each other if a link joins their unitigs, the first reaches the
     end of its unitig, the second begins at its start, and they share exactly the k-mers of the link. All
-    equally good chains are kept; ``n_aln`` is their number.
+    equally good chains are kept; ``n_aln`` is their number. A read with more than MAX_CHAINS of them has one row with
+    an ``aln_id`` of -1, no fragment and the number; what is counted on alignments leaves it out.
     """
     index = member_index(members)
     pairs = seeds(occ, index)
@@ -129,7 +150,10 @@ def align_reads(occ: DataFrame, members: DataFrame, links: DataFrame, covered: f
             after[a].append(b)
             shared[a, b] = ln
         at = [tuple(r) for r in f[["uid", "u_beg", "u_end", "s_beg", "s_end"]].astype(int).itertuples(index=False)]
-        top, chains = best_chains(f["score"].astype(int).tolist(), after)
+        score = f["score"].astype(int).tolist()
+        top, chains = best_chains(score, after)
+        if not chains:
+            return pd.DataFrame([(frame["sid"].iat[0], -1, 0, None, None, None, None, None, top, min(count_chains(score, after), 2**31 - 1))], columns=names).astype({c: "Int64" for c in names})
         used = lambda path: sum(at[i][4] - at[i][3] + 1 for i in path) - sum(shared[x] for x in zip(path, path[1:]))
         total = int(f["total"].iat[0])
         chains = [c for c in chains if used(c) >= covered * total]
@@ -218,19 +242,27 @@ def shared_intervals(aln: DataFrame) -> DataFrame:
 
     The ends of all fragments cut the read; each piece lists the unitigs of the fragments
     over it, once for every alignment. Pieces that not all alignments cover are left out.
+    One sweep over the ends of a read's fragments counts what is open.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        cuts = sorted({*frame["s_beg"], *(frame["s_end"] + 1)})
-        n = int(frame["n_aln"].iat[0])
-        out = []
+        events = defaultdict(list)
+        for a, u, beg, end in zip(frame["aln_id"], frame["uid"], frame["s_beg"], frame["s_end"]):
+            events[int(beg)].append((1, int(a), int(u) >> 1))
+            events[int(end) + 1].append((-1, int(a), int(u) >> 1))
+        cuts, n = sorted(events), int(frame["n_aln"].iat[0])
+        alns, uids, out = Counter(), Counter(), []
         for beg, end in zip(cuts, cuts[1:]):
-            over = frame[(frame["s_beg"] <= beg) & (frame["s_end"] >= end - 1)]
-            if over["aln_id"].nunique() == n:
-                out.append((frame["sid"].iat[0], beg, end - 1, sorted({int(u) >> 1 for u in over["uid"]})))
+            for step, a, u in events[beg]:
+                for count, x in ((alns, a), (uids, u)):
+                    count[x] += step
+                    if not count[x]:
+                        del count[x]
+            if len(alns) == n:
+                out.append((frame["sid"].iat[0], beg, end - 1, sorted(uids)))
         return pd.DataFrame(out, columns=["sid", "beg", "fin", "uids"])
 
-    return spread(aln, "sid").groupBy("sid").applyInPandas(run, "sid bigint, beg int, fin int, uids array<bigint>")
+    return spread(aln.where("aln_id >= 0"), "sid").groupBy("sid").applyInPandas(run, "sid bigint, beg int, fin int, uids array<bigint>")
 
 
 def edit_alignments(pairs: DataFrame, target: str, query: str, key: str, band: int, extend: bool = False) -> DataFrame:

@@ -156,9 +156,11 @@ def end_probe(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
 
 
 def arc_groups(arcs: DataFrame) -> DataFrame:
-    """``v, w, head_v, head_w``: arcs that follow each other through unbranched vertices share a head arc."""
+    """``v, w, head_v, head_w``: arcs that follow each other through unbranched vertices share a head arc; a circle's is its smallest."""
+    from braidwork.operators.ordered import numbered
+
     one = F.lit(1).cast("bigint")
-    pairs, _ = materialize(arcs.select("v", "w").distinct().withColumn("key", F.xxhash64("v", "w")))
+    pairs, _ = materialize(numbered(arcs.select("v", "w").distinct(), ["v", "w"], "key"))
     out = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     simple = out.where("n = 1").select("v").join(out.where("n = 1").select(F.col("v").bitwiseXOR(one).alias("v")), "v", "left_semi")
     into = pairs.select(F.col("w").alias("v"), F.col("key").alias("node"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from braidwork.functions.sequence import reverse_complement
 from braidwork.operators.graph import turned
+from braidwork.operators.skew import join_by_key
 from braidwork.storage import materialize
 
 
@@ -24,7 +25,6 @@ class CorrectionRules:
     min_edits: int = 6
     min_block: int = 10
     max_paths: int = 10_000
-    max_steps: int = 60
 
 
 def error_kmers(kmers: DataFrame, arcs: DataFrame, rules: CorrectionRules = CorrectionRules()) -> DataFrame:
@@ -52,7 +52,9 @@ def blocks(occ: DataFrame, marked: DataFrame, reads: DataFrame, k: int) -> DataF
     the good k-mer behind it as source. Reads without a good k-mer have no block.
     """
     along = Window.partitionBy("sid").orderBy("idx")
-    rows = occ.join(marked.select("vid", "del"), F.shiftright("v", 1) == F.col("vid"))
+    own = occ.withColumn("vid", F.shiftright("v", 1))
+    sizes, _ = materialize(own.groupBy("vid").agg(F.count(F.lit(1)).alias("_n")).join(marked.select("vid", "del"), "vid"))
+    rows = join_by_key(own, sizes, "vid", "_n", sizes.agg(F.sum("_n")).first()[0] or 0)
     rows = rows.withColumn("_start", F.when(F.col("del") != F.lag("del", 1, False).over(along), 1).otherwise(0))
     rows = rows.withColumn("_run", F.sum("_start").over(along))
     edge = {c: F.lag(c).over(along) for c in ("v", "pos")} | {f"{c}2": F.lead(c).over(along) for c in ("v", "pos")}
@@ -91,9 +93,7 @@ def corrected(block: DataFrame, arcs: DataFrame, kmers: DataFrame, marked: DataF
     walk = all_.where(F.col("l") >= rules.min_block).select(*key, "sink", F.col("seq").alias("want"), "l", "band", F.col("source").alias("at"), F.array().cast("array<bigint>").alias("path"), F.lit("").alias("spelt"))
     found, full = [], []
     walk, n = materialize(walk)
-    for _ in range(rules.max_steps):
-        if not n:
-            break
+    while n:  # every arc adds a base, so walks end with their band
         step = walk.join(spelled, "at").where(F.length("spelt") + F.length("more") <= F.col("l") + F.col("band"))
         step = step.select(*key, "sink", "want", "l", "band", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), F.concat("spelt", "more").alias("spelt"))
         step, _ = materialize(step)

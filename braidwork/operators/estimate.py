@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.operators.align import shared_intervals
 from braidwork.operators.coverage import fenced_mean
+from braidwork.operators.onetask import TASK_ROWS, in_one_task
 from braidwork.storage import materialize
 
 
@@ -26,14 +28,21 @@ def unique_depth(aln: DataFrame, sizes: DataFrame) -> DataFrame:
     return sizes.join(mean.select(F.col("u").alias("uid"), "mean"), "uid", "left").select("uid", F.greatest(F.coalesce("mean", F.lit(0.0)), F.lit(1.0)).alias("cov"))
 
 
-def expected_coverage(aln: DataFrame, sizes: DataFrame, start: DataFrame, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def expected_coverage(aln: DataFrame, sizes: DataFrame, start: DataFrame, rounds: int = 1000, tolerance: float = 2.220446e-16, task_rows: int = TASK_ROWS) -> DataFrame:
     """``uid, cov``: stretches of reads divided among the unitigs they may lie on, in proportion to coverage.
 
-    Repeats until coverages change by less than ``tolerance`` in total, or ``rounds`` times.
+    Repeats until coverages change by less than ``tolerance`` in total, or ``rounds`` times. Stretches that name the same unitigs are
+    one row with the sum of their lengths; up to ``task_rows`` of these are worked on in one task, more on tables.
     """
-    blocks = shared_intervals(aln).select("sid", "beg", (F.col("fin") - F.col("beg") + 1).alias("len"), "uids")
-    blocks, _ = materialize(blocks.select(F.struct("sid", "beg").alias("block"), "len", F.explode("uids").alias("uid")))
+    same = shared_intervals(aln).groupBy("uids").agg(F.sum(F.col("fin") - F.col("beg") + 1).alias("len"))
+    same, _ = materialize(same.withColumn("block", F.monotonically_increasing_id()))
+    blocks, n = materialize(same.select("block", "len", F.explode("uids").alias("uid")))
     cov, _ = materialize(start.select("uid", "cov"))
+    if n <= task_rows:
+        rows = blocks.join(cov, "uid").join(sizes.select("uid", "n"), "uid").orderBy("block", "uid").select("block", "len", "uid", "cov", "n")
+        settled = in_one_task(rows, lambda *x: _settled(*x, rounds, tolerance), "uid bigint, _new double")
+        out = sizes.select("uid").join(settled, "uid", "left")
+        return out.select("uid", F.coalesce("_new", F.lit(1e-9)).alias("cov"))
     for _ in range(rounds):
         rows = blocks.join(cov, "uid")
         total = rows.groupBy("block").agg(F.sum("cov").alias("total"))
@@ -48,6 +57,22 @@ def expected_coverage(aln: DataFrame, sizes: DataFrame, start: DataFrame, rounds
     return cov
 
 
+def _settled(block: np.ndarray, length: np.ndarray, uid: np.ndarray, cov: np.ndarray, n: np.ndarray, rounds: int, tolerance: float) -> dict[str, np.ndarray]:
+    """The same steps on arrays, a row for each block and unitig."""
+    blocks, at = np.unique(block, return_inverse=True)
+    uids, first, to = np.unique(uid, return_index=True, return_inverse=True)
+    now, size = cov[first], n[first]
+    for _ in range(rounds):
+        own = now[to]
+        mass = np.bincount(to, length * own / np.bincount(at, own)[at], len(uids))
+        new = np.maximum(mass / size, 1e-9)
+        moved = np.abs(new - now).sum()
+        now = new
+        if moved < tolerance:
+            break
+    return {"uid": uids, "_new": now}
+
+
 def split_kmer_coverage(members: DataFrame, kmers: DataFrame, cov: DataFrame) -> DataFrame:
     """``uid, cov``: coverage of k-mers divided among the unitigs that hold them in proportion to ``cov``; fenced mean, at least 1."""
     at = members.select("uid", F.shiftright("v", 1).alias("vid")).join(cov, "uid")

@@ -111,7 +111,7 @@ b AS (SELECT cid AS best FROM found WHERE og_type = 2 AND len >= 80000 ORDER BY
 x AS (SELECT f.*, coalesce(best IS NOT NULL AND f.cid <> best AND og_type = 2 AND NOT (coalesce(p, 0) > 5 * coalesce(m, 0) OR score > 5 * sscore) AND (score < 3 * sscore OR len NOT BETWEEN 80000 AND 250000), false) AS c FROM found f LEFT JOIN b ON true LEFT JOIN own USING (cid))
 SELECT cid, CASE WHEN c THEN CASE WHEN sscore > 0 THEN 1 ELSE 0 END ELSE og_type END AS og_type, round(CASE WHEN c THEN sscore ELSE score END, 6) AS score, round(CASE WHEN c THEN score ELSE sscore END, 6) AS sscore, len FROM x""",
     "k5_classification_summary": f"WITH RECURSIVE {_COMP} SELECT og_type, count(*) AS components, sum(len)::BIGINT AS bases, round(max(score), 6) AS best FROM found GROUP BY og_type",
-    "f8_hits_lifted": f"""WITH {_H}, {_V}, x AS (SELECT vid, gname, strand, score, alifrom, alito, greatest(len - alito, 100) - 100 AS b, greatest(len - alifrom, 100) - 100 AS e
-  FROM hits JOIN v ON v.name = hits.sname WHERE og_type = 1 AND evalue <= 1e-3 AND alifrom <= alito)
-SELECT vid AS seq, gname, CASE WHEN (coalesce(strand, 0) <> 0) <> true THEN '-' ELSE '+' END AS strand, b + 7 AS start, e + 7 AS "end", least(round(score), 1000)::INT AS score FROM x WHERE 2 * (e - b) >= alito - alifrom""",
+    "f8_hits_lifted": f"""WITH {_H}, {_V}, x AS (SELECT vid, gname, strand, score, least(alifrom, alito) AS lo, greatest(alifrom, alito) AS hi, greatest(len - greatest(alifrom, alito), 100) - 100 AS b, greatest(len - least(alifrom, alito), 100) - 100 AS e
+  FROM hits JOIN v ON v.name = hits.sname WHERE og_type = 1 AND evalue <= 1e-3 AND alifrom IS NOT NULL AND alito IS NOT NULL)
+SELECT vid AS seq, gname, CASE WHEN (coalesce(strand, 0) <> 0) <> true THEN '-' ELSE '+' END AS strand, b + 7 AS start, e + 7 AS "end", least(round(score), 1000)::INT AS score FROM x WHERE 2 * (e - b) >= hi - lo""",
 }

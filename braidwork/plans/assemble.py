@@ -11,6 +11,7 @@ from braidwork.functions import sequence as q
 from braidwork.operators import align, annotation, chains, clean, coverage, estimate, graph, occurrence, organelle, overlap, paths, syncmer, unzip
 from braidwork.operators.correct import CorrectionRules, correct_reads
 from braidwork.operators.ordered import numbered
+from braidwork.operators.skew import join_by_key
 from braidwork.sources.sequences import capped
 from braidwork.storage import materialize
 
@@ -89,6 +90,18 @@ def _distances(occ: DataFrame) -> DataFrame:
     return materialize(one.unionByName(graph.twins(one)).distinct())[0]
 
 
+def read_kmers(reads: DataFrame, k: int, s: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Reads (``sid, seq, lengths``, runs compressed), their closed syncmers as numbered k-mers, these k-mers, and modal distances.
+
+    A frequent k-mer's occurrences are joined with its number where they lie.
+    """
+    occ, total = materialize(syncmer.closed_syncmers(reads, k, s))
+    kmers = _kmer_vertices(occ)
+    rows = join_by_key(occ, kmers.select("vid", "kmer", F.col("cov").alias("_n")), "kmer", "_n", total)
+    occ, _ = materialize(rows.select("sid", "idx", F.col("pos").cast("bigint").alias("pos"), (F.col("vid") * 2 + F.col("rev")).alias("v"), F.lit(False).alias("ec")))
+    return reads, occ, kmers, _distances(occ)
+
+
 def assemble(reads: DataFrame, config: AssemblyConfig = AssemblyConfig()) -> Assembly:
     """Reads (``sid, name, seq``) to unitigs.
 
@@ -97,14 +110,11 @@ def assemble(reads: DataFrame, config: AssemblyConfig = AssemblyConfig()) -> Ass
     """
     c = config
     reads, _ = materialize(capped(reads.where("seq is not null"), c.max_bases).select("sid", q.compress_runs("seq").alias("seq"), q.run_lengths("seq").alias("lengths")))
-    occ, _ = materialize(syncmer.closed_syncmers(reads, c.k, c.s))
-    kmers = _kmer_vertices(occ)
-    occ, _ = materialize(occ.join(kmers.select("vid", "kmer"), "kmer").select("sid", "idx", F.col("pos").cast("bigint").alias("pos"), (F.col("vid") * 2 + F.col("rev")).alias("v"), F.lit(False).alias("ec")))
+    reads, occ, kmers, distances = read_kmers(reads, c.k, c.s)
     least = c.min_kmer
     if not least:
         hist = occurrence.count_of_counts(occ.select((F.shiftright("v", 1)).alias("kid")), "kid")
         least = occurrence.automatic_cutoff(*occurrence.coverage_peaks([(r["mult"], r["n"]) for r in hist.collect()]))
-    distances = _distances(occ)
     if c.correct:
         arcs = _arcs(occ, kmers, 0.0).join(distances, ["v", "w"], "left")
         occ, _ = correct_reads(occ, kmers, arcs, reads, c.k, CorrectionRules(max_error=max(least, 4)))

@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from braidwork import adapters as a
+from braidwork.functions import sequence as q
 from braidwork.operators import align, annotation, chains, correct, coverage, estimate, graph, occurrence, organelle, overlap, paths, unzip
 from braidwork.operators.ordered import numbered, running_total
+from braidwork.operators.skew import join_by_key
+from braidwork.plans import assemble
 from braidwork.plans.annotations import path_steps
 from braidwork.plans.graphs import _E, _V, sym
 from braidwork.plans.sequences import _OCC
@@ -29,7 +32,8 @@ def kmers(s, d):
 
 
 def occurrences(s, d, known):
-    rows = a.occurrences(s, d).join(known.select("kid", "vid"), "kid")
+    total = known.agg(F.sum("cov")).first()[0] or 0
+    rows = join_by_key(a.occurrences(s, d), known.select("kid", "vid", F.col("cov").alias("_n")), "kid", "_n", total)
     return materialize(rows.select("sid", F.col("idx").cast("bigint").alias("idx"), (F.col("vid") * 2 + F.col("rev")).alias("v")))[0]
 
 
@@ -44,10 +48,19 @@ def kmer_graph(s, d):
     return known.select("vid", F.lit(1).cast("bigint").alias("len"), "cov"), occ, arcs
 
 
-def _aligned(s, d):
+def _kmer_unitigs(s, d):
     vs, occ, arcs = kmer_graph(s, d)
     members, _, links = chains.unitigs(vs, arcs)
-    members, links = materialize(members)[0], materialize(links.select("v", "w", F.lit(0).alias("ln"), "cov"))[0]
+    return vs, occ, materialize(members)[0], materialize(links.select("v", "w", F.lit(0).alias("ln"), "cov"))[0]
+
+
+def _refined(s, d):
+    vs, _, members, links = _kmer_unitigs(s, d)
+    return coverage.refined_link_coverage(links, members, materialize(_sizes(members, vs))[0])
+
+
+def _aligned(s, d):
+    vs, occ, members, links = _kmer_unitigs(s, d)
     aln, _ = materialize(align.align_reads(occ, members, links, 0.0))
     return vs, occ, members, links, aln
 
@@ -73,11 +86,17 @@ def _errors(s, d):
     return correct.error_kmers(vs, arcs, RULES)
 
 
+def _corrected(s, d):
+    """The reads themselves corrected by the graph of their k-mers: k-mers, occurrences afterwards, and what became of each block."""
+    reads = table(s, d, "reads").where("seq is not null").select("sid", q.compress_runs("seq").alias("seq"), q.run_lengths("seq").alias("lengths"))
+    reads, occ, kmers, distances = assemble.read_kmers(materialize(reads)[0], 31, 11)
+    arcs = assemble._arcs(occ, kmers, 0.0).join(distances, ["v", "w"], "left")
+    return (kmers, *correct.correct_reads(occ, kmers, arcs, reads, 31, RULES))
+
+
 def _recounted(s, d):
-    vs, occ, arcs = kmer_graph(s, d)
-    marked = correct.error_kmers(vs, arcs, RULES)
-    kept = occ.join(marked.where("not del").select("vid"), F.shiftright("v", 1) == F.col("vid"), "left_semi").withColumn("ec", F.col("v").bitwiseAND(F.lit(1).cast("bigint")) == 1)
-    return correct.recounted(kept, vs)
+    kmers, occ, _ = _corrected(s, d)
+    return correct.recounted(occ, kmers)
 
 
 def _copies(s, d):
@@ -91,8 +110,10 @@ def _paths(s, d):
 
 
 def _chosen(s, d):
-    classes = annotation.segment_classes(a.hits(s, d), a.vertices(s, d))
-    return organelle.chosen(_paths(s, d), classes.select(F.col("vid").alias("cid"), "og_type")).select("cid", "path_no", "len", "circ")
+    place, copies = _copies(s, d)
+    found, genes = (materialize(x)[0] for x in annotation.component_classes(a.hits(s, d), a.vertices(s, d), place))
+    every, _ = materialize(organelle.all_paths(a.vertices(s, d), sym(s, d), place, copies))
+    return organelle.chosen(every, annotation.repaired(found, genes)).select("cid", "path_no", "len", "circ")
 
 
 def _steps(s, d):
@@ -200,13 +221,11 @@ QUERIES = {
     "a6_modal_distance": lambda s, d: overlap.modal_distances(overlap.pair_distances(a.occurrences(s, d), "idx")),
     "g17_member_index": lambda s, d: align.member_index(chains.unitigs(a.vertices(s, d), sym(s, d))[0]),
     "e7_alignments": lambda s, d: _aligned(s, d)[4],
-    "j4_seeds": lambda s, d: align.seeds(*(lambda x: (x[1], align.member_index(x[2])))(_aligned(s, d))),
+    "j4_seeds": lambda s, d: align.seeds(*(lambda x: (x[1], align.member_index(x[2])))(_kmer_unitigs(s, d))),
     "j10_shared_intervals": lambda s, d: align.shared_intervals(_aligned(s, d)[4]),
     "a12_alignment_coverage": lambda s, d: _round((lambda x: estimate.alignment_coverage(x[4], x[2], x[0]))(_aligned(s, d)), "cov"),
     "a13_link_coverage": lambda s, d: _round(align.link_coverage(_aligned(s, d)[4]), "cov"),
-    "a14_refined_coverage": lambda s, d: (lambda x: coverage.refined_link_coverage(
-        x[3].select("v", "w", F.col("v").alias("key")), _sizes(x[2], x[0]).select(F.explode(F.array(F.col("uid") * 2, F.col("uid") * 2 + 1)).alias("v"), F.col("cov").cast("double").alias("cov")),
-        x[3].groupBy(F.col("v").alias("key")).agg(F.sum("cov").alias("n"))))(_aligned(s, d)),
+    "a14_refined_coverage": _refined,
     "a16_triplet_scores": lambda s, d: _round(align.triplet_scores(_aligned(s, d)[4]), "score"),
     "g15_multiplexed": _multiplexed,
     "g16_demultiplexed": _demultiplexed,
@@ -214,7 +233,10 @@ QUERIES = {
     "e1_all_edit_scores": _edit_all,
     "e1_edit_alignments": _edit_reads,
     "e2_error_kmers": _errors,
+    "e3_corrected_blocks": lambda s, d: _corrected(s, d)[2].select("sid", "beg", "fin", "turned", "status", "path", "edits"),
+    "e4_corrected_occurrences": lambda s, d: _corrected(s, d)[1].select("sid", "idx", "v", "pos", "ec"),
     "e5_recounted": _recounted,
+    "e6_correction_summary": lambda s, d: correct.correction_summary(_corrected(s, d)[2]),
     "c1_copy_numbers": lambda s, d: _copies(s, d)[1].withColumn("average", F.round("average", 6)),
     "c3_paths": lambda s, d: _paths(s, d).withColumn("wlen", F.round("wlen", 3)),
     "c7_chosen_paths": _chosen,
@@ -244,7 +266,10 @@ SELECT k.va AS va, k.vr AS vr, k.wa AS wa, k.wr AS wr, max(d) FILTER (r = 1) AS
     "w4_cumulative_lengths": f"WITH {_V} SELECT vid, sum(len) OVER (ORDER BY vid)::BIGINT AS upto FROM v",
     "s1_through_fasta": "SELECT sid, coalesce(seq, '') AS seq FROM reads",
     "s4_capped_reads": "SELECT sid FROM (SELECT sid, sum(coalesce(length(seq), 0)) OVER (ORDER BY sid) - coalesce(length(seq), 0) AS before FROM reads) WHERE before < 100000",
-    "s13_batches": "SELECT sid, ((sum(length(seq)) OVER (ORDER BY sid) - length(seq)) // 20000)::BIGINT AS batch FROM reads WHERE seq IS NOT NULL",
+    "s13_batches": """WITH RECURSIVE r AS (SELECT sid, length(seq) AS n, row_number() OVER (ORDER BY sid) AS i FROM reads WHERE seq IS NOT NULL),
+f(i, sid, batch, upto) AS (SELECT i, sid, 0::BIGINT, n FROM r WHERE i = 1
+  UNION ALL SELECT r.i, r.sid, CASE WHEN upto >= 20000 THEN batch + 1 ELSE batch END, CASE WHEN upto >= 20000 THEN 0 ELSE upto END + r.n FROM f JOIN r ON r.i = f.i + 1)
+SELECT sid, batch FROM f""",
     "s5_segments_through_gfa": "SELECT name, seq, coalesce(length(seq), len, 0)::BIGINT AS len, CASE WHEN coalesce(cov, 1) = 0 THEN 1 ELSE coalesce(cov, 1) END AS cov FROM segments",
     "s6_links_through_gfa": f"WITH {_E} SELECT x.name AS a, e.v % 2 AS ar, y.name AS b, e.w % 2 AS br, e.ls, CASE WHEN e.cov = 0 THEN 1 ELSE e.cov END AS cov FROM e JOIN v x ON x.vid = e.v >> 1 JOIN v y ON y.vid = e.w >> 1",
 }

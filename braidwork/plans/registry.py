@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.plans import annotations, assembly, graphs, problems, sequences
+from braidwork.plans import annotations, assembly, graphs, oracles, problems, sequences
 
 MODULES = [problems, sequences, graphs, annotations, assembly]
 
@@ -12,4 +12,4 @@ def all_queries() -> dict:
 
 
 def all_sql() -> dict:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()} | oracles.SQL

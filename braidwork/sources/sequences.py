@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.operators.ordered import numbered, running_total
+from braidwork.operators.ordered import filled, numbered, running_total
 
 SCHEMA = "file_no int, record bigint, name string, comment string, seq string, qual string"
 BATCH = 10_000
@@ -109,11 +109,9 @@ def size_of(text: str) -> int:
 
 
 def batches(records: DataFrame, bases: int) -> DataFrame:
-    """Records with ``batch``, the number of whole ``bases`` before their first base.
+    """Records (``sid`` is a key) with ``batch``, which ends with the record that brings it to ``bases`` or more.
 
-    A record is never cut: a batch ends with the record that reaches its limit. A null
-    sequence is an error, as it can't be searched.
+    The next one counts anew. A record is never cut. A null sequence is an error, as it can't be searched.
     """
-    checked = records.withColumn("_n", F.when(F.col("seq").isNull(), F.raise_error("a record has no sequence")).otherwise(F.length("seq")))
-    rows = running_total(checked, ["sid"], "_n", "_upto")
-    return rows.withColumn("batch", F.expr(f"(_upto - _n) div {bases}")).drop("_n", "_upto")
+    size = F.when(F.col("seq").isNull(), F.raise_error("a record has no sequence").cast("int")).otherwise(F.length("seq"))
+    return filled(records.withColumn("_n", size), ["sid"], "_n", bases, "batch").drop("_n")
