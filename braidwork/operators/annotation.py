@@ -161,24 +161,30 @@ def gene_table(genes: DataFrame) -> DataFrame:
     return best.join(total, "og_type").select("og_type", "gname", "score", "total")
 
 
+def in_order(hits: DataFrame) -> DataFrame:
+    """Hits with the smaller of the two limits on the segment first; those with a null limit stay as they are."""
+    both = F.col("alifrom").isNotNull() & F.col("alito").isNotNull()
+    low, high = F.least("alifrom", "alito"), F.greatest("alifrom", "alito")
+    return hits.withColumns({"alifrom": F.when(both, low).otherwise(F.col("alifrom")), "alito": F.when(both, high).otherwise(F.col("alito"))})
+
+
 def lifted(hits: DataFrame, steps: DataFrame, og_type: int | None = None, max_evalue: float = 1e-6) -> DataFrame:
     """Hits on paths: ``seq, gname, strand, start, end, score`` with 0-based half-open places.
 
     ``steps``: ``path_id, sname, slen, rev, trim, offset``, a segment read forward or
-    backward, less its first ``trim`` bases, from ``offset`` on the path. Limits count in
-    either order; hits without one have no place. Hits that lose
-    more than half of their length to the trim are left out.
+    backward, less its first ``trim`` bases, from ``offset`` on the path. Hits that lose
+    more than half of their length to the trim are left out, as are those whose limits are null or not
+    in order (see :func:`in_order`).
     """
-    own = hits.where((F.col("evalue") <= max_evalue) & F.col("alifrom").isNotNull() & F.col("alito").isNotNull())
-    own = own.withColumns({"_lo": F.least("alifrom", "alito"), "_hi": F.greatest("alifrom", "alito")})
+    own = hits.where((F.col("evalue") <= max_evalue) & (F.col("alifrom") <= F.col("alito")))
     if og_type is not None:
         own = own.where(F.col("og_type") == og_type)
     on = own.join(steps, "sname")
     back = F.col("rev") != 0
-    beg = F.when(back, F.col("slen") - F.col("_hi")).otherwise(F.col("_lo"))
-    end = F.when(back, F.col("slen") - F.col("_lo")).otherwise(F.col("_hi"))
+    beg = F.when(back, F.col("slen") - F.col("alito")).otherwise(F.col("alifrom"))
+    end = F.when(back, F.col("slen") - F.col("alifrom")).otherwise(F.col("alito"))
     on = on.withColumn("_b", F.greatest(beg, F.col("trim")) - F.col("trim")).withColumn("_e", F.greatest(end, F.col("trim")) - F.col("trim"))
-    on = on.where(2 * (F.col("_e") - F.col("_b")) >= F.col("_hi") - F.col("_lo"))
+    on = on.where(2 * (F.col("_e") - F.col("_b")) >= F.col("alito") - F.col("alifrom"))
     minus = (F.coalesce("strand", F.lit(0)) != 0) != back
     return on.select(
         F.col("path_id").alias("seq"), "gname", F.when(minus, "-").otherwise("+").alias("strand"),

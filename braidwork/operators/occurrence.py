@@ -181,3 +181,15 @@ def within_limits(occ: DataFrame, reads: DataFrame) -> DataFrame:
     b = occ.groupBy("sid").count().agg(F.max("count").alias("most")).withColumn("one", F.lit(1))
     ok = (F.coalesce("top_sid", F.lit(0)) < 2**32 - 1) & (F.coalesce("most", F.lit(0)) <= 2**31 - 1)
     return a.join(b, "one").select("top_sid", "most", ok.alias("ok"))
+
+
+def reads_at_least(occ: DataFrame) -> DataFrame:
+    """``n, reads``: how many reads have ``n`` occurrences or more, for every n from 1 to the most that a read has.
+
+    Reads are counted by their occurrences first; the running sum from the far end is over these counts, which the
+    longest read bounds.
+    """
+    sizes = occ.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+    every = sizes.agg(F.max("n").alias("m")).where("m is not null").select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))).alias("n"))
+    own = F.coalesce("c", F.lit(0)).cast("bigint")
+    return every.join(sizes, "n", "left").select("n", F.sum(own).over(Window.orderBy(F.desc("n"))).alias("reads"))

@@ -94,6 +94,18 @@ def path_order(metrics: DataFrame, steps: DataFrame) -> DataFrame:
     return ranked.withColumn("best", best).orderBy(*keys).drop("_o", "_first")
 
 
+def order_correlation(marks: DataFrame) -> DataFrame:
+    """``path_id, n, rho``: Spearman's correlation of places on a path with ranks, both counted without gaps; 0 for a single mark.
+
+    ``marks``: path_id, pos, rank, each once on a path. Windows of one path.
+    """
+    along = lambda c: F.row_number().over(Window.partitionBy("path_id").orderBy(c)).cast("bigint")
+    rows = marks.withColumn("_d", along("pos") - along("rank"))
+    got = rows.groupBy("path_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_d") * F.col("_d")).alias("_s"))
+    rho = 1 - 6 * F.col("_s") / F.nullif(F.col("n") * (F.col("n") * F.col("n") - 1), F.lit(0))
+    return got.select("path_id", "n", F.coalesce(rho, F.lit(0.0)).alias("rho"))
+
+
 def fasta_lines(paths: DataFrame, width: int = 60) -> DataFrame:
     """One text a path, ready to be written: header with number, form and metrics, and the wrapped sequence.
 

@@ -44,14 +44,14 @@ def n_steps(members, vertices, arcs):
 
 
 def _lifted(s, d):
-    return n.lifted(a.hits(s, d), path_steps(s, d))
+    return n.lifted(n.in_order(a.hits(s, d)), path_steps(s, d))
 
 
 def _lifted_alone(s, d):
     """Hits of segments read backwards after 100 bases: the lift without a path."""
     v = a.vertices(s, d)
     steps = v.select(F.col("vid").alias("path_id"), F.col("name").alias("sname"), F.col("len").alias("slen"), F.lit(1).alias("rev"), F.lit(100).alias("trim"), F.lit(7).alias("offset"))
-    return n.lifted(a.hits(s, d), steps, n.MITO, 1e-3)
+    return n.lifted(n.in_order(a.hits(s, d)), steps, n.MITO, 1e-3)
 
 
 _H = """hits AS (SELECT DISTINCT hit_id, gname, sname, hmmfrom, hmmto, alifrom, alito, envfrom, envto, modlen, strand, evalue, score, bias, og_type FROM annot

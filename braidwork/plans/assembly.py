@@ -172,7 +172,7 @@ def _batches(s, d):
 
 
 def _bed(s, d):
-    return lines.bed_lines(annotation.lifted(a.hits(s, d), path_steps(s, d)))
+    return lines.bed_lines(annotation.lifted(annotation.in_order(a.hits(s, d)), path_steps(s, d)))
 
 
 def _cumulative(s, d):
@@ -186,11 +186,15 @@ def _edit(s, d):
     return pairs.select("a", "b", F.levenshtein("a", "b").alias("score"))
 
 
-def _edit_all(s, d):
-    """All pairs of gene names; there are as many names as a gene set has, whatever the number of hits."""
+def name_pairs(s, d):
+    """Every gene name with each later one: the names of a gene set, which doesn't grow with the hits, are one array."""
     genes = materialize(a.hits(s, d).select("gname").distinct())[0]
-    pairs = genes.select(F.col("gname").alias("a")).crossJoin(genes.select(F.col("gname").alias("b"))).where("a < b")
-    return pairs.select("a", "b", F.levenshtein("a", "b").alias("score"))
+    every = genes.agg(F.collect_list("gname").alias("names")).scalar()
+    return genes.select(F.col("gname").alias("a"), F.explode(F.filter(every, lambda x: x > F.col("gname"))).alias("b"))
+
+
+def _edit_all(s, d):
+    return name_pairs(s, d).select("a", "b", F.levenshtein("a", "b").alias("score"))
 
 
 def _edit_reads(s, d):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from braidwork.plans import annotations, assembly, graphs, oracles, problems, sequences
+from braidwork.plans import annotations, assembly, graphs, oracles, problems, sequences, tools
 
-MODULES = [problems, sequences, graphs, annotations, assembly]
+MODULES = [problems, sequences, graphs, annotations, assembly, tools]
 
 
 def all_queries() -> dict:
