@@ -49,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("-f", "--circle-part", type=float, default=d.circle_part)
         c.add_argument("-S", "--min-score", type=float, default=r.min_score)
         c.add_argument("-e", "--max-evalue", type=float, default=r.max_evalue)
+        c.add_argument("-g", "--gene-gain", type=lambda x: [int(n) for n in x.split(",")], default=list(d.gains), help="genes that a further component must bring, plastid[,mitochondrial]")
         c.add_argument("-l", "--min-len", type=int, default=r.min_len)
         c.add_argument("-q", "--min-fraction", type=float, default=d.min_fraction)
         c.add_argument("-C", "--max-copy", type=int, default=d.max_copy)
@@ -97,7 +98,7 @@ def _assembly(a: argparse.Namespace) -> AssemblyConfig:
 
 def _paths(a: argparse.Namespace) -> PathConfig:
     rules = annotation.ClassRules(a.max_evalue, a.include_trn, a.include_rrn, 0, a.min_score, a.min_len)
-    return PathConfig(rules, a.circle_part, a.min_fraction, a.max_copy, a.max_path, a.policy, not a.no_graph_clean, a.max_bubble, a.max_tip, a.weak_cross)
+    return PathConfig(rules, a.circle_part, a.min_fraction, a.max_copy, a.max_path, a.policy, not a.no_graph_clean, a.max_bubble, a.max_tip, a.weak_cross, tuple((a.gene_gain * 2)[:2]), a.min_len)
 
 
 def write_assembly(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +120,9 @@ def write_paths(spark: SparkSession, a: argparse.Namespace, vertices: DataFrame,
     for kind, label in KINDS.items():
         own = seqs.where(F.col("og_type") == kind)
         label_of = lambda c: F.format_string("ctg%06d", F.col(c))
-        lines.write_lines(lines.sequence_lines(own.select(label_of("cid").alias("name"), "seq")), names[f"{label}_contigs"])
+        rest = found.rest.where(F.col("og_type") == kind).join(vertices.select("vid", "name", "seq"), "vid")
+        written = own.select(label_of("cid").alias("name"), "seq").unionByName(rest.select(F.concat_ws("_", label_of("cid"), "name").alias("name"), "seq"))
+        lines.write_lines(lines.sequence_lines(written), names[f"{label}_contigs"])
         placed = found.places.join(own.select("cid"), F.col("seq") == F.col("cid"), "left_semi").withColumn("seq", label_of("seq"))
         lines.write_lines(lines.bed_lines(placed), names[f"{label}_contig_bed"], lines.BED_HEADER, one_file=True)
 

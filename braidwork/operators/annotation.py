@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,19 @@ ORDERS = {
 }
 
 
+#: The core genes of a plastid in their usual order.
+PLASTID_ORDER = [
+    "psbA", "matK", "rps16", "psbK", "psbI", "atpA", "atpF", "atpH", "atpI", "rps2",
+    "rpoC2", "rpoC1", "rpoB", "ycf6", "psbM", "psbD", "psbC", "ycf9", "rps14", "psaB",
+    "psaA", "ycf3", "rps4", "ndhJ", "psbG", "ndhC", "atpE", "atpB", "rbcL", "accD",
+    "psaI", "ycf4", "cemA", "petA", "psbJ", "psbL", "psbF", "psbE", "ORF31", "petG",
+    "psaJ", "rpl33", "rps18", "rpl20", "clpP", "psbB", "psbT", "psbN", "psbH", "petB",
+    "petD", "rpoA", "rps11", "rpl36", "rps8", "rpl14", "rpl16", "rps3", "rpl22", "rps19",
+    "ndhF", "rpl32", "ycf5", "ndhD", "psaC", "ndhE", "ndhG", "ndhI", "ndhA", "ndhH",
+    "rps15",
+]
+
+
 @dataclass(frozen=True)
 class ClassRules:
     """Thresholds of the classification; defaults are the usual ones for plant organelles."""
@@ -154,6 +168,40 @@ def repaired(found: DataFrame, genes: DataFrame, rules: ClassRules = ClassRules(
     return all_.select("cid", kind.alias("og_type"), score.alias("score"), second.alias("sscore"), "len")
 
 
+def gaining(
+    classes: DataFrame, genes: DataFrame, min_score: float = 300.0, gains: dict[int, int] | None = None, near: float = 0.85, part: float = 0.6, plastid_size: int = 160_000
+) -> DataFrame:
+    """``cid`` of the components of each type that bring genes, taken by descending score.
+
+    ``classes``: cid, og_type, score, len; ``genes``: cid, og_type, gname, score. A component is left out if fewer
+    than ``gains`` (by type) of its genes score ``min_score`` and no less than what is taken already, unless it has ``part`` as many
+    genes as are taken, each with ``near`` of the best score so far. A plastid one is left out too if it would exceed
+    ``plastid_size`` with less than ``part`` of the score per base. One task follows the typed components of a type, which are few.
+    """
+    gains = {PLTD: 3, MITO: 1} if gains is None else gains
+    typed = classes.where(F.col("og_type") != UNCLASSIFIED).select("cid", "og_type", F.col("score").cast("double").alias("total"), "len")
+    own = genes.groupBy("cid", "og_type").agg(F.collect_list(F.struct("gname", F.col("score").cast("double").alias("score"))).alias("genes"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        kind, taken, score, size, out = int(frame["og_type"].iat[0]), {}, 0.0, 0, []
+        frame = frame.sort_values(["total", "cid"], ascending=[False, True])
+        for cid, total, n, listed in zip(frame["cid"], frame["total"], frame["len"], frame["genes"]):
+            mine = {g["gname"]: g["score"] for g in listed} if listed is not None else {}
+            extra = sum(s >= min_score and s >= taken.get(g, 0) for g, s in mine.items())
+            alike = sum(s >= near * taken.get(g, 0) for g, s in mine.items())
+            if extra < gains.get(kind, 1) and alike < part * len(taken):
+                continue
+            if kind == PLTD and size + n > plastid_size and total * size < score * n * part:
+                continue
+            for g, s in mine.items():
+                taken[g] = max(s, taken.get(g, s))
+            score, size = score + total, size + n
+            out.append(cid)
+        return pd.DataFrame({"cid": out}, dtype="int64")
+
+    return typed.join(own, ["cid", "og_type"], "left").groupBy("og_type").applyInPandas(run, "cid bigint")
+
+
 def gene_table(genes: DataFrame) -> DataFrame:
     """``og_type, gname, score, share``: the best score of each gene over all components, and its part of the type's total."""
     best = genes.groupBy("og_type", "gname").agg(F.max("score").alias("score"))

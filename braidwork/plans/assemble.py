@@ -51,6 +51,8 @@ class PathConfig:
     bubble: int = 100_000
     tip: int = 10_000
     weak: float = 0.3
+    gains: tuple[int, int] = (3, 1)  # genes that a further plastid or mitochondrial component must bring
+    min_rest: int = 10_000
 
 
 @dataclass
@@ -168,33 +170,56 @@ def _spelled(occ: DataFrame, reads: DataFrame, kmers: DataFrame, k: int) -> Data
 
 @dataclass
 class Found:
-    """Components with their class, all paths, the chosen ones, and hits on these."""
+    """Components with their class, all paths, the chosen ones, hits on these, and segments of typed components on no chosen path."""
 
     classes: DataFrame
     paths: DataFrame
     chosen: DataFrame
     places: DataFrame
+    rest: DataFrame
 
 
 def find_paths(vertices: DataFrame, arcs: DataFrame, hits: DataFrame, config: PathConfig = PathConfig()) -> Found:
-    """Paths of the components with a type. ``vertices``: vid, name, seq, len, cov; ``arcs``: v, w, ls, cov; ``hits`` as read."""
+    """Paths of the components with a type. ``vertices``: vid, name, seq, len, cov; ``arcs``: v, w, ls, cov; ``hits`` as read.
+
+    Components that bring no genes are left out. Circular plastids begin at their first core gene, in the direction in
+    which the order of genes fits better. ``rest`` (cid, og_type, vid) has the segments of at least ``min_rest`` bases that are on no
+    chosen path, and all segments of components with too many paths.
+    """
     c = config
     vs, _ = materialize(vertices)
     es, _ = materialize(graph.live_arcs(vs, graph.symmetric(arcs)))
     if c.clean:
         vs, es = clean.cleaned(vs, es, c.tip, c.bubble, c.weak)
     place, _ = materialize(graph.components(vs, es))
+    hits, _ = materialize(annotation.in_order(hits))
     found, genes = (materialize(x)[0] for x in annotation.component_classes(hits, vs, place, c.rules))
     classes, _ = materialize(annotation.repaired(found, genes, c.rules))
-    typed = classes.where(F.col("og_type") != annotation.UNCLASSIFIED)
+    worth, _ = materialize(annotation.gaining(classes, genes, c.rules.min_score, {annotation.PLTD: c.gains[0], annotation.MITO: c.gains[1]}))
+    typed, _ = materialize(classes.where(F.col("og_type") != annotation.UNCLASSIFIED).join(worth, "cid", "left_semi"))
     own = place.join(typed.select("cid"), "cid", "left_semi")
     vs2, _ = materialize(vs.join(own.select("vid"), "vid", "left_semi"))
     copies, _ = materialize(organelle.copy_numbers(vs2, own, c.max_copy, c.min_fraction))
-    every, _ = materialize(organelle.all_paths(vs2, es, own, copies, True, c.max_copy, c.max_paths))
-    best, _ = materialize(organelle.chosen(every, typed, c.circle_part, None, c.policy))
+    every, _ = materialize(organelle.all_paths(vs2, es, own, copies, True, c.max_copy, c.max_paths, c.circle_part))
+    plastid = every.join(typed.where(F.col("og_type") == annotation.PLTD).select("cid"), "cid", "left_semi")
+    order, _ = materialize(organelle.gene_order(plastid, _first_core_genes(hits, vs2, c.rules), copies))
+    turned = order.select("cid", "path_no", F.col("v").alias("_v"))
+    every, _ = materialize(every.join(turned, ["cid", "path_no"], "left").withColumn("v", F.coalesce("_v", "v")).drop("_v"))
+    best, _ = materialize(organelle.chosen(every, typed, c.circle_part, order, c.policy))
     steps = best.select(F.col("cid").alias("path_id"), "circ", F.posexplode("v").alias("pos", "v"))
     placed = paths.placed_steps(steps.where("circ"), vs, es, True).unionByName(paths.placed_steps(steps.where("not circ"), vs, es))
-    return Found(classes, every, best, annotation.lifted(hits, placed, None, c.rules.max_evalue))
+    kept = own.join(vs2.select("vid", "len"), "vid").join(typed.select("cid", "og_type"), "cid")
+    free = kept.join(steps.select(F.shiftright("v", 1).alias("vid")).distinct(), "vid", "left_anti").join(best.select("cid", F.lit(True).alias("_has")), "cid", "left")
+    rest, _ = materialize(free.where(F.col("_has").isNull() | (F.col("len") >= c.min_rest)).select("cid", "og_type", "vid").distinct())
+    return Found(classes, every, best, annotation.lifted(hits, placed, None, c.rules.max_evalue), rest)
+
+
+def _first_core_genes(hits: DataFrame, vertices: DataFrame, rules: annotation.ClassRules) -> DataFrame:
+    """``vid, rank`` of the first core gene, in the usual order of a plastid, whose best hit is on the segment."""
+    on = annotation.of_segments(annotation.considered(hits, rules), vertices).where(F.col("og_type") == annotation.PLTD)
+    rank = F.array_position(F.array(*[F.lit(g) for g in annotation.PLASTID_ORDER]), F.col("gname"))
+    best = on.withColumn("rank", rank.cast("int")).where("rank > 0").groupBy("gname", "rank").agg(F.max_by("vid", F.struct("score", -F.col("vid"))).alias("vid"))
+    return best.groupBy("vid").agg(F.min("rank").alias("rank"))
 
 
 def contigs(found: Found, vertices: DataFrame, arcs: DataFrame) -> DataFrame:

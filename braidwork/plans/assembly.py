@@ -190,7 +190,7 @@ def name_pairs(s, d):
     """Every gene name with each later one: the names of a gene set, which doesn't grow with the hits, are one array."""
     genes = materialize(a.hits(s, d).select("gname").distinct())[0]
     every = genes.agg(F.collect_list("gname").alias("names")).scalar()
-    return genes.select(F.col("gname").alias("a"), F.explode(F.filter(every, lambda x: x > F.col("gname"))).alias("b"))
+    return genes.select(F.col("gname").alias("a"), F.explode(every).alias("b")).where("a < b")
 
 
 def _edit_all(s, d):
