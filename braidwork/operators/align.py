@@ -9,6 +9,7 @@ Python, on groups as large as a read.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -69,15 +70,26 @@ def chain_seeds(pairs: list[tuple[int, int]]) -> list[tuple[int, int, int, int,
 def fragments(pairs: DataFrame) -> DataFrame:
     """Chains of seeds on one unitig, numbered within the read."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        by = defaultdict(list)
-        for uid, s, u in zip(frame["uid"], frame["s"], frame["u"]):
-            by[uid].append((s, u))
-        rows = [(uid, *c) for uid in sorted(by) for c in chain_seeds(by[uid])]
-        rows.sort(key=lambda r: (r[3], r[4], r[0], r[1]))
-        return pd.DataFrame([(frame["sid"].iat[0], i, *r) for i, r in enumerate(rows)], columns=[c.split()[0] for c in FRAGMENTS.split(", ")])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for sid, *columns in zip(frame["sid"], frame["uid"], frame["s"], frame["u"]):
+                by = defaultdict(list)
+                for uid, s, u in zip(*(c.tolist() for c in columns)):
+                    by[uid].append((s, u))
+                rows = [(uid, *c) for uid, seeds_ in by.items() for c in chain_seeds(seeds_)]
+                rows.sort(key=lambda r: (r[3], r[4], r[0], r[1]))
+                out += [(sid, i, *r) for i, r in enumerate(rows)]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FRAGMENTS.split(", ")])
+
+    return _by_read(spread(pairs.select("sid", "uid", "s", "u"), "sid"), ["uid", "s", "u"]).mapInPandas(run, FRAGMENTS)
+
 
-    return spread(pairs.select("sid", "uid", "s", "u"), "sid").groupBy("sid").applyInPandas(run, FRAGMENTS)
+def _by_read(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row a read, with an array for each column, in ascending order of the columns. A read is as long as it is."""
+    held = rows.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_x"))
+    part = lambda c: F.transform("_x", lambda x: x[c]).alias(c)
+    return held.select("sid", *[part(c) for c in columns])
 
 
 def best_chains(score: list[int], after: dict[int, list[int]]) -> tuple[int, list[list[int]]]:
@@ -134,33 +146,31 @@ def align_reads(occ: DataFrame, members: DataFrame, links: DataFrame, covered: f
     beside = offered.withColumn("_s", F.col("_e") + 1 - F.col("ln")).join(right, ["sid", "_s"]).where("a <> b")
     joined = beside.join(links.select("v", "w", F.col("ln").cast("int").alias("ln")).distinct(), ["v", "w", "ln"], "left_semi")
     length = occ.groupBy("sid").agg(F.count(F.lit(1)).alias("total"))
-    one = frg.join(length, "sid")
-    none = F.lit(None).cast("int")
-    both = one.select(*[c.split()[0] for c in FRAGMENTS.split(", ")], "total", none.alias("b"), none.alias("ln"))
-    lit = lambda c: F.lit(None).cast(c)
-    edge = joined.select("sid", F.col("a").alias("frg"), lit("bigint").alias("uid"), *[lit("int").alias(c) for c in ("u_beg", "u_end", "s_beg", "s_end", "score")], lit("bigint").alias("total"), "b", F.col("ln").cast("int").alias("ln"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in ALIGNED.split(", ")]
-        f = frame[frame["b"].isna()].sort_values("frg")
-        if f.empty:
-            return pd.DataFrame([], columns=names)
-        after, shared = defaultdict(list), {}
-        for a, b, ln in frame[~frame["b"].isna()][["frg", "b", "ln"]].sort_values(["frg", "b"]).astype(int).itertuples(index=False):
-            after[a].append(b)
-            shared[a, b] = ln
-        at = [tuple(r) for r in f[["uid", "u_beg", "u_end", "s_beg", "s_end"]].astype(int).itertuples(index=False)]
-        score = f["score"].astype(int).tolist()
-        top, chains = best_chains(score, after)
-        if not chains:
-            return pd.DataFrame([(frame["sid"].iat[0], -1, 0, None, None, None, None, None, top, min(count_chains(score, after), 2**31 - 1))], columns=names).astype({c: "Int64" for c in names})
-        used = lambda path: sum(at[i][4] - at[i][3] + 1 for i in path) - sum(shared[x] for x in zip(path, path[1:]))
-        total = int(f["total"].iat[0])
-        chains = [c for c in chains if used(c) >= covered * total]
-        rows = [(frame["sid"].iat[0], k, i, *at[x], top, len(chains)) for k, path in enumerate(chains) for i, x in enumerate(path)]
-        return pd.DataFrame(rows, columns=names)
-
-    return spread(both.unionByName(edge), "sid").groupBy("sid").applyInPandas(run, ALIGNED)
+    names = [c.split()[0] for c in FRAGMENTS.split(", ")][1:]
+    held = _by_read(spread(frg, "sid"), names)
+    edges = _by_read(spread(joined.select("sid", "a", "b", F.col("ln").cast("int").alias("ln")), "sid"), ["a", "b", "ln"])
+    whole = held.join(edges, "sid", "left").join(length, "sid").select("sid", *names, "a", "b", "ln", "total")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in ALIGNED.split(", ")]
+        for frame in frames:
+            out = []
+            for sid, _, uid, u_beg, u_end, s_beg, s_end, score, a, b, ln, total in frame.itertuples(index=False):
+                after, shared = defaultdict(list), {}
+                for x, y, n in zip(*(c.tolist() for c in (a, b, ln))) if a is not None else ():
+                    after[x].append(y)
+                    shared[x, y] = n
+                at = list(zip(*(c.tolist() for c in (uid, u_beg, u_end, s_beg, s_end))))
+                top, chains = best_chains(score.tolist(), after)
+                if not chains:
+                    out.append((sid, -1, 0, None, None, None, None, None, top, min(count_chains(score.tolist(), after), 2**31 - 1)))
+                    continue
+                used = lambda path: sum(at[i][4] - at[i][3] + 1 for i in path) - sum(shared[x] for x in zip(path, path[1:]))  # noqa: B023, E731
+                chains = [c for c in chains if used(c) >= covered * total]
+                out += [(sid, k, i, *at[x], top, len(chains)) for k, path in enumerate(chains) for i, x in enumerate(path)]
+            yield pd.DataFrame(out, columns=columns).astype({c: "Int64" for c in columns})
+
+    return whole.mapInPandas(run, ALIGNED)
 
 
 def informative(occ: DataFrame, before: DataFrame) -> DataFrame:

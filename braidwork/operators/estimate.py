@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from braidwork.operators.align import shared_intervals
 from braidwork.operators.coverage import fenced_mean
 from braidwork.operators.onetask import TASK_ROWS, in_one_task
-from braidwork.storage import materialize
+from braidwork.storage import discard, materialize
 
 
 def unique_depth(aln: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -43,6 +43,7 @@ def expected_coverage(aln: DataFrame, sizes: DataFrame, start: DataFrame, rounds
         settled = in_one_task(rows, lambda *x: _settled(*x, rounds, tolerance), "uid bigint, _new double")
         out = sizes.select("uid").join(settled, "uid", "left")
         return out.select("uid", F.coalesce("_new", F.lit(1e-9)).alias("cov"))
+    last = cov
     for _ in range(rounds):
         rows = blocks.join(cov, "uid")
         total = rows.groupBy("block").agg(F.sum("cov").alias("total"))
@@ -51,7 +52,8 @@ def expected_coverage(aln: DataFrame, sizes: DataFrame, start: DataFrame, rounds
         new = new.select("uid", (F.coalesce("mass", F.lit(0.0)) / F.col("n")).alias("cov"), "_old")
         new, _ = materialize(new.withColumn("cov", F.greatest("cov", F.lit(1e-9))))
         moved = new.agg(F.sum(F.abs(F.col("cov") - F.col("_old"))).alias("m")).first()["m"] or 0.0
-        cov = new.select("uid", "cov")
+        discard(last)
+        cov, last = new.select("uid", "cov"), new
         if moved < tolerance:
             break
     return cov

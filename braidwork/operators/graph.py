@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from braidwork.operators.chains import rank_chains
 from braidwork.operators.onetask import TASK_ROWS, in_one_task, spanning_stars, strong_roots
 from braidwork.operators.ordered import numbered
-from braidwork.storage import materialize
+from braidwork.storage import discard, materialize
 
 MAX_ROUNDS = 200
 
@@ -113,13 +113,15 @@ def components(vertices: DataFrame, arcs: DataFrame, task_rows: int = TASK_ROWS)
             return materialize(place.join(stars, "cid", "left").select("vid", F.coalesce("_up", "cid").alias("cid")))[0]
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("up"))
-        up, _ = materialize(up)
-        above = up.select(F.col("a").alias("up"), F.col("up").alias("top"))
-        up, _ = materialize(up.join(above, "up", "left").select("a", F.coalesce("top", "up").alias("up")))
+        first, _ = materialize(up)
+        above = first.select(F.col("a").alias("up"), F.col("up").alias("top"))
+        up, _ = materialize(first.join(above, "up", "left").select("a", F.coalesce("top", "up").alias("up")))
         to = lambda old, new: up.withColumnsRenamed({"a": old, "up": new})
         moved = edges.join(to("a", "x"), "a").join(to("b", "y"), "b").where("x <> y")
+        old = edges, place, first, up
         edges, n = materialize(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
         place, _ = materialize(place.join(to("cid", "_up"), "cid", "left").select("vid", F.coalesce("_up", "cid").alias("cid")))
+        discard(*old)
     raise RuntimeError(f"components didn't settle in {MAX_ROUNDS} rounds")
 
 

@@ -116,8 +116,10 @@ def _chosen(s, d):
     return organelle.chosen(every, annotation.repaired(found, genes)).select("cid", "path_no", "len", "circ")
 
 
-def _steps(s, d):
-    return chains.unitigs(a.vertices(s, d), sym(s, d))[0].withColumnRenamed("uid", "path_id")
+def _walks(s, d):
+    """Unitigs as paths, with the segments and the arcs, which are written once."""
+    v, e = a.vertices(s, d), sym(s, d)
+    return chains.unitigs(v, e)[0].withColumnRenamed("uid", "path_id"), v, e
 
 
 def _seeds(s, d):
@@ -207,13 +209,14 @@ def _edit_reads(s, d):
 
 
 def _metrics(s, d):
-    got = paths.path_metrics(_steps(s, d), a.vertices(s, d), sym(s, d))
+    got = paths.path_metrics(*_walks(s, d))
     return got.withColumn("wlen", F.round("wlen", 3))
 
 
 def _ordered(s, d):
-    m, _ = materialize(paths.path_metrics(_steps(s, d), a.vertices(s, d), sym(s, d)))
-    return paths.path_order(m, _steps(s, d)).select("path_id", "best")
+    steps, v, e = _walks(s, d)
+    m, _ = materialize(paths.path_metrics(steps, v, e))
+    return paths.path_order(m, steps).select("path_id", "best")
 
 
 def _round(df, *names):
@@ -247,7 +250,7 @@ QUERIES = {
     "c4_path_metrics": _metrics,
     "c5_path_order": _ordered,
     "w4_cumulative_lengths": _cumulative,
-    "seq_p12_path_sequences": lambda s, d: paths.path_sequences(_steps(s, d), a.vertices(s, d), sym(s, d)),
+    "seq_p12_path_sequences": lambda s, d: paths.path_sequences(*_walks(s, d)),
     "g21_seed_graphs": _seeds,
     "s1_through_fasta": _through_fasta,
     "s4_capped_reads": _capped,

@@ -47,7 +47,23 @@ def materialize(df: DataFrame) -> tuple[DataFrame, int]:
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     _written.append(path)
     _remember(spark)
-    return spark.read.schema(df.schema).parquet(path), int(seen.get["n"] or 0)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table, int(seen.get["n"] or 0)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of earlier rounds, as :func:`materialize` returned them, once nothing reads them any more."""
+    for table in tables:
+        path = table.__dict__.pop("_written", None)
+        if path in _written:
+            _written.remove(path)
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -55,11 +71,8 @@ def release(spark: SparkSession) -> None:
 
     What is left at the end of the process is deleted then.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def _remember(spark: SparkSession) -> None:

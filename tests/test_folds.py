@@ -64,3 +64,27 @@ def test_chains_are_counted_without_being_listed(monkeypatch):
     assert count_chains([1] * 80, after) == 2**40
     assert best_chains([1] * 80, after) == (40, [])
     assert best_chains([2, 1, 3, 3], {0: [2, 3], 1: [2]}) == (5, [[0, 2], [0, 3]])
+
+
+def test_tables_of_earlier_rounds_go(spark):
+    import os
+
+    from braidwork import storage
+
+    df, n = storage.materialize(spark.range(5).toDF("x"))
+    path = df._written.removeprefix("file://")
+    assert n == 5 and os.path.exists(path)
+    storage.discard(df, spark.range(3))
+    assert not os.path.exists(path) and f"file://{path}" not in storage._written
+
+
+def test_last_stage_of_expectation_is_the_same_on_tables_and_arrays(spark):
+    from braidwork.operators.estimate import expected_coverage
+
+    aln = [(s, k, 0, 2 * u, 0, 3, 0, 3, 4, 2) for s in range(30) for k, u in enumerate([s % 3, 3])] + [(99, 0, 0, 2, 0, 5, 0, 5, 6, 1)]
+    aln = spark.createDataFrame(aln, "sid bigint, aln_id int, frag int, uid bigint, u_beg int, u_end int, s_beg int, s_end int, score int, n_aln int")
+    sizes = spark.createDataFrame([(u, 10 + u) for u in range(5)], "uid bigint, n bigint")
+    start = spark.createDataFrame([(u, 1.0 + u) for u in range(5)], "uid bigint, cov double")
+    one = {r["uid"]: r["cov"] for r in expected_coverage(aln, sizes, start, rounds=6).collect()}
+    many = {r["uid"]: r["cov"] for r in expected_coverage(aln, sizes, start, rounds=6, task_rows=0).collect()}
+    assert one == pytest.approx(many) and len(one) == 5
