@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from braidwork.operators.onetask import spanning_stars
 from braidwork.operators.skew import HOT_PARTS
-from braidwork.storage import materialize
+from braidwork.storage import discard, materialize
 
 TASK_PAIRS = 2_000_000
 MAX_LEVELS = 200
@@ -75,7 +75,9 @@ def connected_groups(pairs: DataFrame, a: str, b: str, task_pairs: int = TASK_PA
         chain, _ = materialize(chain.where(F.col("up").isNotNull() | (F.col("n") >= n // HOT_PARTS + 1)))
         if n > task_pairs and nodes == n and chain.where("up is not null").isEmpty():
             return met  # every node has one star, and no root is a node
+        old = stars, met, up, chain
         stars, n = materialize(_hung(met, chain, n))
+        discard(*old)
     raise RuntimeError(f"groups didn't settle in {MAX_LEVELS} levels")
 
 
