@@ -86,7 +86,7 @@ def _genes(s, d):
 def _cluster_types(s, d):
     v = a.vertices(s, d)
     clusters, _ = materialize(coverage.coverage_clusters(v, materialize(graph.components(v, sym(s, d)))[0]))
-    return organelle.cluster_types(clusters, annotation.type_scores(_genes(s, d), "vid"), v)
+    return organelle.cluster_types(clusters, annotation.type_scores(_genes(s, d), "vid"), v, organelle.gene_counts(_genes(s, d), min_score=100.0))
 
 
 def _gene_order(s, d):
@@ -146,7 +146,7 @@ QUERIES = {
     "s10_hits_through_table": _through_table,
     "s12_rotations_through_list": _through_list,
     "a27_any_kmer": lambda s, d: a.occurrences(s, d).select("kid").limit(1).agg((F.count(F.lit(1)) > 0).alias("some")),
-    "l4_gene_counts": lambda s, d: organelle.gene_counts(_genes(s, d)),
+    "l4_gene_counts": lambda s, d: organelle.gene_counts(_genes(s, d), min_score=100.0),
     "l4_cluster_types": _cluster_types,
     "a7_consensus": _consensus,
     "k3_fasta_lines": _fasta,
@@ -188,12 +188,14 @@ SELECT gname, sname, least(alifrom, alito) AS alifrom, greatest(alifrom, alito)
 WHERE hmmfrom IS NOT NULL AND hmmto IS NOT NULL AND alifrom IS NOT NULL AND alito IS NOT NULL AND envfrom IS NOT NULL AND envto IS NOT NULL AND modlen IS NOT NULL AND evalue IS NOT NULL AND bias IS NOT NULL AND strand IS NOT NULL""",
     "s12_rotations_through_list": f"WITH {_V} SELECT name AS sname, vid % len + 1 AS pos, vid % 3 = 0 AS rev FROM v WHERE len > 0",
     "a27_any_kmer": f"WITH {_OCC} SELECT count(*) > 0 AS some FROM occ",
-    "l4_gene_counts": f"WITH {_BEST} SELECT vid, og_type, count(*) AS genes FROM (SELECT *, max(score) OVER (PARTITION BY og_type, gname) AS top FROM best) WHERE score >= 0.85::DOUBLE * top GROUP BY ALL",
+    "l4_gene_counts": f"WITH {_BEST} SELECT vid, og_type, count(*) AS genes FROM (SELECT *, max(score) OVER (PARTITION BY og_type, gname) AS top FROM best) WHERE score >= 0.85::DOUBLE * top AND score >= 100 GROUP BY ALL",
     "l4_cluster_types": f"""WITH RECURSIVE {_CLUSTERS}, {_BEST.replace(f"{_V}, ", "")},
-total AS (SELECT cid, clust, sum(len) AS size FROM clustered JOIN v USING (vid) GROUP BY ALL),
-score AS (SELECT cid, clust, og_type, sum(greatest(score, 0)) AS score FROM best JOIN clustered USING (vid) GROUP BY ALL HAVING sum(greatest(score, 0)) > 0),
-top AS (SELECT cid, clust, og_type FROM score QUALIFY row_number() OVER (PARTITION BY cid, clust ORDER BY score DESC, og_type) = 1)
-SELECT t.cid, t.clust::INT AS clust, CASE WHEN og_type = 2 AND size > 250000 THEN 1 ELSE coalesce(og_type, 0) END::INT AS og_type FROM total t LEFT JOIN top USING (cid, clust)""",
+mito AS (SELECT vid, count(*) AS genes FROM (SELECT *, max(score) OVER (PARTITION BY og_type, gname) AS top FROM best) WHERE score >= 0.85::DOUBLE * top AND score >= 100 AND og_type = 1 GROUP BY vid),
+total AS (SELECT cid, clust, sum(len) AS size, coalesce(sum(genes), 0) AS genes FROM clustered JOIN v USING (vid) LEFT JOIN mito USING (vid) GROUP BY ALL),
+score AS (SELECT cid, clust, t.t AS og_type, coalesce(sum(greatest(score, 0)) FILTER (og_type = t.t), 0) AS score FROM clustered LEFT JOIN best USING (vid), range(0, 4) t(t) GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY cid, clust ORDER BY score DESC, og_type) AS r FROM score),
+first AS (SELECT a.cid, a.clust, a.og_type AS best, a.score, b.og_type AS next, b.score AS second FROM placed a JOIN placed b ON b.cid = a.cid AND b.clust = a.clust AND a.r = 1 AND b.r = 2)
+SELECT cid, clust::INT AS clust, (CASE WHEN score = second THEN 0 WHEN best = 2 AND next = 1 AND genes > 0 AND (score < 3 * second OR (score < 5 * second AND size > 250000)) THEN 1 ELSE best END)::INT AS og_type FROM first JOIN total USING (cid, clust)""",
     "k3_fasta_lines": f"""{_U}, {_PLACED}, {_METRICS},
 piece AS (SELECT path_id, pos, sname || CASE WHEN rev = 1 THEN '-' ELSE '+' END AS step, repeat('N', gap) || substr(CASE WHEN rev = 1 THEN {_RC.format("known")} ELSE known END, trim + 1) AS s
   FROM (SELECT p.*, coalesce(g.seq, repeat('N', slen)) AS known FROM placed p JOIN segments g ON g.vid = p.v >> 1)),
