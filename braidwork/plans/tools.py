@@ -86,7 +86,7 @@ def _genes(s, d):
 def _cluster_types(s, d):
     v = a.vertices(s, d)
     clusters, _ = materialize(coverage.coverage_clusters(v, materialize(graph.components(v, sym(s, d)))[0]))
-    return organelle.cluster_types(clusters, annotation.type_scores(_genes(s, d), "vid"), v, organelle.gene_counts(_genes(s, d), min_score=100.0))
+    return organelle.cluster_types(clusters, _genes(s, d), v, organelle.gene_counts(_genes(s, d), min_score=100.0))
 
 
 def _gene_order(s, d):

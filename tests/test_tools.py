@@ -1,6 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 from braidwork import cli
+from braidwork.operators.annotation import exact_sums
+from braidwork.plans import tools
 from braidwork.sources import search
 from braidwork.storage import checkpoint_root, materialize, release
 from braidwork.streaming.counts import kmer_counts
@@ -54,3 +58,27 @@ def test_tables_in_the_shared_folder(spark):
     assert n == 10 and table.count() == 10 and table.inputFiles()[0].removeprefix("file://").startswith(checkpoint_root(spark).removeprefix("file://"))
     assert materialize(spark.range(0))[1] == 0
     release(spark)
+
+
+def test_cluster_types_with_equal_sums_in_any_order(spark, sf_dir, tmp_path):
+    # Two segments a component, one cluster; types 1 and 3 have the same scores on other genes, in every component in another order. Every
+    # fourth component has a tenth more for type 3. Doubles added one by one took many of the equal sums for unequal.
+    rng, n, scores = random.Random(7), 60, [473.3, 473.3, 504.9, 504.9, 473.3, 473.3, 104.3]
+    rows = {"segments": [], "arcs": [], "annot": []}
+    for c in range(n):
+        for v in (2 * c, 2 * c + 1):
+            rows["segments"].append({"vid": v, "name": f"s{v}", "len": 1000, "cov": 10})
+        for v, w in ((4 * c, 4 * c + 2), (4 * c + 3, 4 * c + 1)):
+            rows["arcs"].append({"v": v, "w": w, "ln": 0, "ls": 0, "cov": 10, "del": False})
+        for t in (1, 3):
+            mine = rng.sample(scores, len(scores))
+            if t == 3 and c % 4 == 0:
+                mine[0] += 0.1
+            for g, x in enumerate(mine):
+                rows["annot"].append({"hit_id": len(rows["annot"]), "gname": f"g{t}{g}", "sname": f"s{2 * c + rng.randrange(2)}", "evalue": 1e-9, "score": x, "og_type": t})
+    for name, own in rows.items():
+        schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+        spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in own], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r["cid"]: r["og_type"] for r in tools.QUERIES["l4_cluster_types"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [2 * c for c in range(n)] and got == {2 * c: 0 if c % 4 else 3 for c in range(n)}
+    assert [exact_sums(spark.createDataFrame([(0, x) for x in xs], "k int, x double"), ["k"], "x").first()["x"] for xs in ([1e300, 1.0, 5e-324], [1e308] * 3, [float("inf"), 1.0], [0.0])] == [1e300, float("inf"), float("inf"), 0.0]
