@@ -10,6 +10,7 @@ from braidwork.operators.align import align_reads, best_chains, chain_seeds, com
 from braidwork.operators.annotation import MITO, PLTD
 from braidwork.operators.localgraph import LocalGraph, choose, rank_correlation, rotated_by_genes
 from braidwork.operators.organelle import all_paths, choose_seeds, minicircles, recalled, repeat_unit, seed_graphs
+from braidwork.operators.pathsets import Coded, path_set
 from braidwork.operators.syncmer import closed_syncmers, closed_syncmers_sql, select
 from braidwork.operators.unzip import demultiplex, multiplex
 from braidwork.plans import assembly
@@ -165,6 +166,42 @@ def test_long_rings_and_chains_are_enumerated(spark):
     assert g.best_circle_within([0, 2, 4, 2, 4, 6], 0.5) == [2, 4, 2, 4] and g.best_circle_within([0, 2, 4, 6], 0.9) is None
 
 
+def tangled(n, copies, seed=1):
+    rng = random.Random(seed)
+    g = LocalGraph({i: rng.randrange(50, 900) for i in range(n)}, {i: rng.randrange(1, 60) / 4 for i in range(n)})
+    for _ in range(2 * n):
+        g.add(rng.randrange(2 * n), rng.randrange(2 * n), rng.randrange(40), 1.0)
+    return g, {i: rng.randint(1, copies) for i in range(n)}
+
+
+def test_too_many_paths_are_counted_without_walking_them(monkeypatch):
+    g, cn = tangled(8, 6)
+    want = sum(1 for _ in g._both_ways(g.heaviest(), {i: 1 for i in g.length}))
+    assert g.count_ways({i: 1 for i in g.length}, 10**6) == want
+    monkeypatch.setattr(LocalGraph, "_extended", None)
+    g, cn = LocalGraph(dict.fromkeys(range(6), 100), dict.fromkeys(range(6), 9.0)), dict.fromkeys(range(6), 9)
+    for v in range(0, 12, 2):
+        for w in range(0, 12, 2):
+            g.add(v, w)
+    assert g.paths(cn) == ([], True)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_sets_of_paths_are_those_found_one_by_one(seed):
+    g, cn = tangled(5 + seed % 3, 2 + seed % 2, seed)
+    if g.count_ways(cn, 30_000) > 30_000:
+        cn = dict.fromkeys(cn, 1)
+    paths, over = g.paths(cn)
+    extra = [q for p in paths if not g.closed(p) and (q := g.best_circle_within(p))]
+    every = paths + [list(q) for q in sorted({g.canonical(q) for q in extra} - {tuple(p) for p in paths})]
+    want = [(p, *g.metrics(p)) for p in every]
+    for got in (path_set(g, cn, 10**6), Coded(g, cn).path_set()):
+        assert not over and want == [(got.path(i), got.bases[i], got.weight[i], got.circ[i]) for i in range(len(got.steps))]
+    i = got.chosen(0.9)
+    assert i == choose([(n, w, c, 0.0) for _, n, w, c in want])
+    assert [r for b in got.row(7, i) for r in b.to_pylist()] == [b for x in got.batches(7) for b in x.to_pylist()][i : i + 1]
+
+
 def test_path_queries_leave_no_component_out(spark, sf_dir):
     _, copies = assembly._copies(spark, sf_dir)
     got = assembly.QUERIES["c3_paths"](spark, sf_dir).cache()
