@@ -93,6 +93,18 @@ def test_syncmers_agree(spark):
     assert sorted(x[2] for x in select(seqs[0], 15, 5)) == sorted(x[2] for x in select(back, 15, 5))
 
 
+def test_syncmers_of_a_long_read(spark):
+    # One row for a window would carry the whole read: 120,000 bases squared.
+    rng = random.Random(4)
+    bases = "".join(rng.choice("ACGTacgu") for _ in range(120_000))
+    seqs = [bases, bases[:14], bases[:15], "é" * 20 + bases[:300], None, bases[500:900] + "N" + bases[:40], bases[:60_000]]
+    want = [(sid, p, kmer) for sid, t in enumerate(seqs) if t for p, _, kmer, _ in select(t, 15, 5)]
+    df = spark.createDataFrame(list(enumerate(seqs)), "sid bigint, seq string").coalesce(1)
+    plan = closed_syncmers_sql(df, 15, 5)
+    assert "Generate" not in plan._jdf.queryExecution().toString()
+    assert [tuple(r) for r in plan.collect()] == want
+
+
 def occ_of(spark, walks):
     rows = [(sid, i, v) for sid, w in enumerate(walks) for i, v in enumerate(w)]
     return spark.createDataFrame(rows, "sid bigint, idx bigint, v bigint")
