@@ -9,7 +9,7 @@ from braidwork.functions.editing import align, cigar_text, render
 from braidwork.operators.align import align_reads, best_chains, chain_seeds, common_blocks, link_coverage, shared_intervals, triplet_scores
 from braidwork.operators.annotation import MITO, PLTD
 from braidwork.operators.localgraph import LocalGraph, choose, rank_correlation, rotated_by_genes
-from braidwork.operators.organelle import all_paths, choose_seeds, minicircles, recalled, repeat_unit, seed_graphs
+from braidwork.operators.organelle import all_paths, choose_seeds, chosen, chosen_paths, minicircles, recalled, repeat_unit, seed_graphs
 from braidwork.operators.pathsets import Coded, path_set
 from braidwork.operators.syncmer import closed_syncmers, closed_syncmers_sql, select
 from braidwork.operators.unzip import demultiplex, multiplex
@@ -214,6 +214,22 @@ def test_sets_of_paths_are_those_found_one_by_one(seed):
     assert [r for b in got.row(7, i) for r in b.to_pylist()] == [b for x in got.batches(7) for b in x.to_pylist()][i : i + 1]
 
 
+def test_paths_chosen_in_the_task_are_those_chosen_from_the_table(spark):
+    rows, arcs = [], set()
+    for cid, seed in enumerate((2, 5, 9)):
+        g, _ = tangled(5, 2, seed)
+        rows += [(100 * cid + v, 1000 * n, int(4 * g.cov[v]), cid) for v, n in g.length.items()]
+        arcs |= {(200 * cid + v, 200 * cid + w, ls, 1) for v, ws in g.out.items() for w, (ls, _) in ws.items()}
+    vs = spark.createDataFrame(rows, "vid bigint, len bigint, cov bigint, cid bigint")
+    es = spark.createDataFrame(sorted(arcs), "v bigint, w bigint, ls bigint, cov bigint")
+    place, copies = vs.select("vid", "cid"), vs.select("vid", F.lit(2).alias("copy"))
+    types = spark.createDataFrame([(0, PLTD), (1, MITO)], "cid bigint, og_type int")
+    every = all_paths(vs.drop("cid"), es, place, copies)
+    want = sorted(chosen(every, types).select(every.columns).collect())
+    got = chosen_paths(vs.drop("cid"), es, place, copies, types).collect()
+    assert len(want) == 3 and sorted(got) == want
+
+
 def test_path_queries_leave_no_component_out(spark, sf_dir):
     _, copies = assembly._copies(spark, sf_dir)
     got = assembly.QUERIES["c3_paths"](spark, sf_dir).cache()
